@@ -1,0 +1,16 @@
+"""Size-checked broadcasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `max_rows` rows, else unmarked.
+
+    Meant for frames read from a written table, where counting is cheap.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
