@@ -1,0 +1,87 @@
+import json
+import math
+
+import pytest
+
+from triptych.operators.lexical import WORD_DISTANCE, WORD_OVERLAP, batch_overlap, nan_below
+from triptych.operators.report import CALIBRATED, DISTANCE, JUDGE, lower_is_better_note, report_long
+from triptych.operators.scoring import score_pairs
+from triptych.operators.tasks import NINE_TASKS, expand_tasks
+from triptych.plans.evaluation import evaluate
+from triptych.sources.profiles import PROFILES
+from triptych.sources.readers import read_reports, read_table
+from tests.test_scoring import random_triples
+
+
+def as_json(evaluation):
+    return json.loads(evaluation.report.first().report)
+
+
+def test_judge_report(spark):
+    report = as_json(evaluate(random_triples(spark), JUDGE, "ur-native", WORD_OVERLAP,
+                              model="some-model", method="some-method"))
+    assert list(report) == ["language", "model", "method", "averages", "win_rate_A_vs_B"]
+    assert list(report["averages"]) == ["A_Native Idiomatic", "B_Native Descriptive", "C_Native Literal"]
+    assert report["language"] == "ur-native" and 0 < report["win_rate_A_vs_B"] < 1
+
+
+def test_calibrated_report(spark):
+    report = as_json(evaluate(random_triples(spark), CALIBRATED, "de", WORD_OVERLAP))
+    assert list(report) == ["language", "averages", "win_rates"]
+    assert list(report["averages"]) == ["QE_A_Figurative", "QE_B_Literal", "QE_C_Incorrect"]
+    assert list(report["win_rates"]) == ["A_vs_B", "A_vs_C", "B_vs_C"]
+    corrected = as_json(evaluate(random_triples(spark), CALIBRATED, "de", WORD_OVERLAP, corrected_labels=True))
+    assert list(corrected["averages"]) == ["QE_A_Figurative", "QE_B_Alternative", "QE_C_Literal Incorrect"]
+    assert list(corrected["averages"].values()) == list(report["averages"].values())
+
+
+def test_distance_report(spark):
+    report = as_json(evaluate(random_triples(spark), DISTANCE, "ur-roman", WORD_DISTANCE,
+                              note=lower_is_better_note("Distance")))
+    assert list(report) == ["language", "note", "win_rates", "averages"]
+    assert report["note"] == "Distance scores are Lower-is-Better"
+    assert list(report["averages"]) == [t.label for t in NINE_TASKS]
+    assert list(report["win_rates"]) == ["A_beats_B", "A_beats_C", "B_beats_C"]
+
+
+def test_nan_mean_beside_a_win_rate(spark):
+    evaluation = evaluate(random_triples(spark), JUDGE, "de", nan_below(WORD_OVERLAP, 3))
+    report = as_json(evaluation)
+    assert report["averages"]["A_Figurative"] == "NaN" and report["win_rate_A_vs_B"] > 0
+    rows = {r.key: r.value for r in report_long(evaluation.summary, JUDGE, PROFILES["de"].labels).collect()}
+    assert math.isnan(rows["A_Figurative"]) and rows["win_rate_A_vs_B"] == report["win_rate_A_vs_B"]
+
+
+def test_outside_scores_with_a_missing_task(spark):
+    triples = random_triples(spark, 40)
+    scores = score_pairs(expand_tasks(triples), WORD_DISTANCE).filter("task <> 'Score_QE_C'")
+    with pytest.warns(UserWarning):
+        report = as_json(evaluate(triples, DISTANCE, "de", scores=scores))
+    assert "Score_QE_C" not in report["averages"] and len(report["averages"]) == 8
+    assert list(report["win_rates"]) == ["A_beats_B"]
+
+
+def test_written_output(spark, tmp_path):
+    evaluation = evaluate(random_triples(spark, 30), CALIBRATED, "ur-roman", batch_overlap())
+    for _ in range(2):  # a second run overwrites
+        evaluation.write(str(tmp_path))
+    folder = tmp_path / "calibrated" / "urdu_roman"
+    results = spark.read.parquet(str(folder / "results"))
+    assert results.count() == 30 and results.columns[-9:] == [
+        "Score_QE_A_Roman Idiomatic", "Score_QE_B_Roman Descriptive", "Score_QE_C_Roman Literal",
+        "Score_B_ref_A", "Score_C_ref_A", "Score_A_ref_B", "Score_C_ref_B", "Score_A_ref_C", "Score_B_ref_C"]
+    text = "".join(p.read_text() for p in (folder / "report").glob("part-*"))
+    assert text.count("\n") > 8 and json.loads(text) == as_json(evaluation)
+    back = read_reports(spark, str(folder / "report")).first()
+    assert back.language == "ur-roman" and back.averages["QE_A_Roman Idiomatic"] > 0
+    evaluation.write(str(tmp_path / "csv"), "csv")
+    table = read_table(spark, str(tmp_path / "csv" / "calibrated" / "urdu_roman" / "results"))
+    assert table.columns == results.columns and table.count() == 30
+
+
+def test_direction_and_input_are_checked(spark):
+    triples = random_triples(spark, 3)
+    with pytest.raises(ValueError, match="sort"):
+        evaluate(triples, DISTANCE, "de", WORD_OVERLAP)
+    with pytest.raises(ValueError, match="either"):
+        evaluate(triples, DISTANCE, "de")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triptych.functions.replies import extract_object, field, usable
+from triptych.functions.replies import field, usable, with_object
 from triptych.functions.text import strip
 
 MAX_ATTEMPTS = 3
@@ -23,7 +23,7 @@ INPUT_RATE, OUTPUT_RATE = 0.01, 0.1
 
 def parse_attempts(attempts: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
     """Add `reply`, the usable object of the response, else NULL."""
-    parsed = attempts.withColumn("_object", extract_object(strip(F.col("response"))))
+    parsed = with_object(attempts, strip(F.col("response")), "_object")
     return (parsed.withColumn("reply", F.when(usable(F.col("_object"), required), F.col("_object")))
             .drop("_object"))
 

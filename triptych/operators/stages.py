@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triptych.functions.replies import field
@@ -38,7 +39,10 @@ Ask = Callable[[str], tuple[str | None, int | None, int | None]]
 
 class Generator(Protocol):
     def reply(self, prompts: DataFrame, stage: str, attempt: int) -> DataFrame:
-        """Add response, prompt_tokens and completion_tokens to idiom_id, prompt."""
+        """Add response, prompt_tokens and completion_tokens to the rows.
+
+        Every row stays, once; it has idiom_id and prompt among its columns.
+        """
         ...
 
 
@@ -58,25 +62,27 @@ class ModelGenerator:
     def reply(self, prompts: DataFrame, stage: str, attempt: int) -> DataFrame:
         build = self.build
 
-        def ask_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def answer(ask: Ask, prompt: str) -> tuple[str | None, int | None, int | None]:
+            try:
+                return ask(prompt)
+            except Exception:
+                return None, None, None
+
+        def ask_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             ask = build()
             for batch in batches:
-                answers: list[tuple[str | None, int | None, int | None]] = []
-                for prompt in batch["prompt"]:
-                    try:
-                        answers.append(ask(prompt))
-                    except Exception:
-                        answers.append((None, None, None))
-                text, tokens_in, tokens_out = zip(*answers, strict=True) if answers else ((), (), ())
-                yield batch.assign(response=pd.Series(text, dtype=object, index=batch.index),
-                                   prompt_tokens=pd.array(tokens_in, dtype="Int64"),
-                                   completion_tokens=pd.array(tokens_out, dtype="Int64"))
-
+                yield pd.DataFrame([answer(ask, prompt) for prompt in batch],
+                                   columns=["response", "prompt_tokens", "completion_tokens"],
+                                   dtype=object)
+
+        # Only the prompts go to Python; the other columns stay in the JVM.
+        ask_all.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        answered = F.pandas_udf(
+            ask_all, "response string, prompt_tokens long, completion_tokens long")
         if self.spread:
             prompts = prompts.repartition(self.spread)
-        return prompts.select("idiom_id", "prompt").mapInPandas(
-            ask_all, "idiom_id long, prompt string, response string, "
-                     "prompt_tokens long, completion_tokens long")
+        return (prompts.withColumn("_answer", answered.asNondeterministic()(F.col("prompt")))
+                .select(*prompts.columns, "_answer.*"))
 
 
 @dataclass(frozen=True)
@@ -89,14 +95,20 @@ class ReplayGenerator:
         recorded = (self.attempts
                     .filter((F.col("stage") == stage) & (F.col("attempt") == attempt))
                     .select("idiom_id", "response", "prompt_tokens", "completion_tokens"))
-        return prompts.select("idiom_id", "prompt").join(recorded, "idiom_id", "left")
+        return prompts.join(recorded, "idiom_id", "left")
 
 
 @dataclass(frozen=True)
 class StageResult:
-    """`attempts` as made, `replies` (idiom_id, fields), `rejected` (idiom_id)."""
+    """What a stage made of its prompts.
+
+    `attempts` holds every attempt made. `settled` has each prompt's row once,
+    with the fields of its usable reply, or NULL fields if there was none.
+    `replies` has only the rows with a usable reply, `rejected` the other ids.
+    """
 
     attempts: DataFrame
+    settled: DataFrame
     replies: DataFrame
     rejected: DataFrame
 
@@ -105,32 +117,40 @@ def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str
               max_attempts: int = MAX_ATTEMPTS, resume: bool = False) -> StageResult:
     """Ask for every prompt until its reply is usable, `max_attempts` times at most.
 
-    Each round is written under `store` before the next one starts, and the
-    next one reads its prompts from it, so no paid call is made twice because
-    of a lost executor. With `resume`, rounds that are already complete there
-    are taken as they are.
+    `prompts` has idiom_id, prompt and any columns to keep with them. Each
+    round is written under `store` before the next one starts, and the next
+    one reads what is left from it, so no paid call is made twice because of a
+    lost executor, and nothing has to be joined back. With `resume`, rounds
+    that are already complete there are taken as they are.
     """
     spark = prompts.sparkSession
-    pending, rounds = prompts.select("idiom_id", "prompt"), []
+    kept = [c for c in prompts.columns if c not in ("idiom_id", "prompt")]
+    asked = ["idiom_id", "prompt"]
+    pending = prompts.select(*asked)
+    if kept:
+        asked.append("kept")
+        pending = prompts.select("idiom_id", "prompt", F.struct(*kept).alias("kept"))
+    rounds: list[DataFrame] = []
     for attempt in range(1, max_attempts + 1):
         path = f"{store}/{stage.name}/attempt={attempt}"
+        made = parse_attempts(generator.reply(pending, stage.name, attempt).select(
+            F.lit(stage.name).alias("stage"), F.lit(attempt).alias("attempt"), *asked,
+            strip(F.col("response")).alias("response"), "prompt_tokens", "completion_tokens"),
+            stage.required)
         if not (resume and is_complete(spark, path)):
-            answered = generator.reply(pending, stage.name, attempt)
-            made = answered.select(
-                F.lit(stage.name).alias("stage"), "idiom_id", F.lit(attempt).alias("attempt"),
-                "prompt", strip(F.col("response")).alias("response"),
-                "prompt_tokens", "completion_tokens")
-            parse_attempts(made, stage.required).write.mode("overwrite").parquet(path)
-        rounds.append(spark.read.parquet(path).withColumn("attempt", F.lit(attempt)))
-        pending = rounds[-1].filter(F.col("reply").isNull()).select("idiom_id", "prompt")
+            made.write.mode("overwrite").parquet(path)
+        rounds.append(spark.read.schema(made.schema).parquet(path))
+        pending = rounds[-1].filter(F.col("reply").isNull()).select(*asked)
         if pending.isEmpty():
             break
-    attempts = rounds[0]
-    for later in rounds[1:]:
-        attempts = attempts.unionByName(later)
-    replies = attempts.filter(F.col("reply").isNotNull()).select(
-        "idiom_id", *(field(F.col("reply"), f).alias(f) for f in stage.fields))
-    return StageResult(attempts, replies, pending.select("idiom_id"))
+    attempts = reduce(DataFrame.unionByName, rounds)
+    answered = F.col("reply").isNotNull()
+    fields = [field(F.col("reply"), f).alias(f) for f in stage.fields]
+    row = ["idiom_id", *(F.col(f"kept.`{c}`") for c in kept), *fields]
+    return StageResult(attempts,
+                       attempts.filter(answered | (F.col("attempt") == max_attempts)).select(*row),
+                       attempts.filter(answered).select(*row),
+                       pending.select("idiom_id"))
 
 
 def attach_german(base: DataFrame, replies: DataFrame) -> DataFrame:
@@ -143,16 +163,16 @@ def attach_identification(rows: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.join(replies.select("idiom_id", *IDENTIFICATION.fields), "idiom_id", "left")
 
 
-def has_both_idioms(rows: DataFrame) -> DataFrame:
-    """Rows for which Urdu translations are asked for."""
-    return rows.filter(truthy(F.col("urdu_idiom_native")) & truthy(F.col("urdu_idiom_roman")))
+def has_both_idioms() -> Column:
+    """Whether Urdu translations are asked for; never NULL."""
+    return truthy(F.col("urdu_idiom_native")) & truthy(F.col("urdu_idiom_roman"))
 
 
 def attach_urdu(rows: DataFrame, replies: DataFrame) -> DataFrame:
     """Urdu translations, only where both Urdu idioms are there."""
-    both = truthy(F.col("urdu_idiom_native")) & truthy(F.col("urdu_idiom_roman"))
     fields = replies.select(F.col("idiom_id").alias("_id"), *URDU.fields)
-    return rows.join(fields, (F.col("idiom_id") == F.col("_id")) & both, "left").drop("_id")
+    return (rows.join(fields, (F.col("idiom_id") == F.col("_id")) & has_both_idioms(), "left")
+            .drop("_id"))
 
 
 def wide_dataset(rows: DataFrame) -> DataFrame:

@@ -16,12 +16,22 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "triptych", master: str | None = None, **extra: str) -> SparkSession:
-    """A session with SETTINGS; `extra` keys use `__` for dots."""
+# A shuffled partition of this size, uncompressed several times as large, fits an executor core.
+PARTITION_BYTES = 128 << 20
+
+
+def shuffle_partitions(input_bytes: int, least: int = 200) -> int:
+    """How many shuffle partitions the input needs; adaptive execution merges small ones."""
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(app: str = "triptych", master: str | None = None, input_bytes: int = 0,
+                  **extra: str) -> SparkSession:
+    """A session with SETTINGS, sized for the input; `extra` keys use `__` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = SETTINGS | {k.replace("__", "."): v for k, v in extra.items()}
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes))} | {k.replace("__", "."): v for k, v in extra.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -120,7 +120,7 @@ ORACLE_SQL["scorer_failure_policy"] = (
                 f"AS Score_QE_{c.upper()}, bad_{c} AS failed_Score_QE_{c.upper()}" for c in "abc")
     + " FROM t JOIN failed ON t.source = failed.source")
 
-# One-word candidates A are few but there, so this one task is not complete.
+# The replies of one language are lost, so this task is left out.
 ORACLE_SQL["request_count_guard"] = _scored(
     [t for t in NINE if t[0] != "Score_A_Ref_C"], keep="seg_id")
 
@@ -279,15 +279,16 @@ SELECT d.doc_id AS idiom_id, coalesce('q' || quality, source) AS urdu_idiom_roma
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 ORACLE_SQL["candidate_pool_choice"] = """
-WITH pool AS (SELECT doc_id // 4 AS idiom_id, lang AS generator, min(text) AS candidate
-  FROM documents WHERE text <> '' GROUP BY ALL),
-picks AS (SELECT d.doc_id // 4 AS idiom_id, arg_min(lang, d.doc_id) AS picked
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 GROUP BY 1),
+WITH pool AS (SELECT doc_id AS idiom_id, 'documents' AS generator, text AS candidate FROM documents
+  UNION ALL SELECT conv_id, 'turns', text FROM conversations
+  UNION ALL SELECT page_id, 'pages', url FROM pages),
+picks AS (SELECT doc_id AS idiom_id, CASE WHEN toxic = 1 THEN 'pages' WHEN quality = 1 THEN 'documents'
+  ELSE 'turns' END AS picked FROM labels),
 ranked AS (SELECT p.*, coalesce(generator = picked, FALSE) AS reviewed,
-  list_position(['de', 'fr', 'es', 'en'], generator) AS place
-  FROM pool p LEFT JOIN picks k ON p.idiom_id = k.idiom_id)
+  list_position(['turns', 'pages', 'documents'], generator) AS place
+  FROM pool p LEFT JOIN picks k ON p.idiom_id = k.idiom_id WHERE candidate <> '')
 SELECT idiom_id, generator, candidate, reviewed FROM ranked
-QUALIFY row_number() OVER (PARTITION BY idiom_id ORDER BY reviewed DESC, place) = 1"""
+QUALIFY row_number() OVER (PARTITION BY idiom_id ORDER BY reviewed DESC, place, candidate) = 1"""
 
 ORACLE_SQL["transliteration_pass"] = """
 SELECT s_suppkey AS idiom_id, reverse(s_name) AS urdu_idiom_native FROM supplier

@@ -208,11 +208,11 @@ def request_reply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def request_count_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task lacks the reply for the segments with a one-word candidate A."""
+    """One task lacks the replies for one language."""
     triples = document_triples(spark, sf_dir)
-    pairs = expand_tasks(triples)
-    lost = (F.col("task") == "Score_A_Ref_C") & ~F.contains("hyp", F.lit(" "))
-    scores = score_pairs(pairs, WORD_OVERLAP).filter(~lost)
+    pairs = expand_tasks(triples, keys=["seg_id", "lang"])
+    lost = (F.col("task") == "Score_A_Ref_C") & (F.col("lang") == "fr")
+    scores = score_pairs(pairs, WORD_OVERLAP).filter(~lost).select("seg_id", "task", "score")
     return attach_scores(triples, scores).drop("src", "cand_a", "cand_b", "cand_c", "lang", "source")
 
 
@@ -362,15 +362,19 @@ def curation_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def candidate_pool_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("idiom_id", F.expr("doc_id div 4"))
-    generators = ("de", "fr", "es", "en")
-    pool = pool_candidates({g: docs.filter(F.col("lang") == g)
-                            .select("idiom_id", F.col("text").alias("candidate"))
-                            for g in generators})
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    choices = (docs.join(good, "doc_id").groupBy("idiom_id")
-               .agg(F.min_by("lang", "doc_id").alias("generator")))
-    return choose_candidates(pool, choices, generators)
+    """Documents, conversation turns and page addresses as three generators."""
+    pool = pool_candidates({
+        "documents": table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("idiom_id"), F.col("text").alias("candidate")),
+        "turns": table(spark, sf_dir, "conversations").select(
+            F.col("conv_id").alias("idiom_id"), F.col("text").alias("candidate")),
+        "pages": table(spark, sf_dir, "pages").select(
+            F.col("page_id").alias("idiom_id"), F.col("url").alias("candidate"))})
+    choices = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("idiom_id"),
+        F.when(F.col("toxic") == 1, "pages").when(F.col("quality") == 1, "documents")
+        .otherwise("turns").alias("generator"))
+    return choose_candidates(pool, choices, ["turns", "pages", "documents"])
 
 
 def _reverse_model() -> Ask:
