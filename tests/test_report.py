@@ -79,6 +79,15 @@ def test_written_output(spark, tmp_path):
     assert table.columns == results.columns and table.count() == 30
 
 
+@pytest.mark.parametrize("file_format", ["parquet", "csv", "json"])
+def test_written_report_keeps_nan(spark, tmp_path, file_format):
+    evaluation = evaluate(random_triples(spark), JUDGE, "de", nan_below(WORD_OVERLAP, 3), model="m")
+    evaluation.write(str(tmp_path), file_format)
+    written = spark.read.text(str(tmp_path / "judge" / "german" / "report"), wholetext=True).first().value
+    assert json.loads(written) == as_json(evaluation)
+    assert json.loads(written)["averages"]["B_Literal"] == "NaN"
+
+
 def test_direction_and_input_are_checked(spark):
     triples = random_triples(spark, 3)
     with pytest.raises(ValueError, match="sort"):

@@ -10,7 +10,7 @@ from triptych.operators.lexical import WORD_OVERLAP
 from triptych.operators.scoring import score_triples
 from triptych.operators.stats import win_rates
 from triptych.operators.tasks import NINE_TASKS, QE_TASKS
-from triptych.sources.profiles import load_triples, union_languages
+from triptych.sources.profiles import load_languages, load_triples, union_languages
 from triptych.sources.readers import (
     INPUT_ORDER,
     read_base,
@@ -137,6 +137,12 @@ def test_languages_of_one_file(spark, tmp_path):
     rates = {(r.language, r.pair): r.win_rate for r in win_rates(scored, True, by=["language"]).collect()}
     assert rates[("de", "AB")] == 1 / 3 and rates[("de", "BC")] == 2 / 3
     assert rates[("ur-native", "AB")] == 1 / 2 and rates[("ur-roman", "AC")] == 1 / 2
+    keyed = path.replace("all.csv", "keyed.csv")
+    (tmp_path / "keyed.csv").write_text("\n".join(
+        ",".join(r) for r in [["Idiom ID", *headers], *(["%d" % (i + 5), *r] for i, r in enumerate(rows))]))
+    together = load_languages(spark, keyed, ["ur-native", "ur-roman"], "Idiom ID").collect()
+    assert sorted((r.language, r.seg_id, r.cand_a) for r in together) == [
+        ("ur-native", 5, "x z"), ("ur-native", 7, "u"), ("ur-roman", 5, "n"), ("ur-roman", 7, "u v")]
     with pytest.raises(ValueError, match="cand_a"):
         load_triples(spark, put(tmp_path, "no.csv", "English Sentence,b\n1,2\n"), "de")
     with pytest.raises(PySparkException):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from triptych.functions.text import exact
 from triptych.operators.report import ReportKind, report_json
@@ -23,31 +25,65 @@ from triptych.sources.writers import output_path, write_report, write_results
 
 @dataclass(frozen=True)
 class Evaluation:
+    """A scored table and what is reported of it; nothing is computed until used."""
+
     scored: DataFrame
-    summary: DataFrame
-    report: DataFrame
     kind: ReportKind
-    labels: Labels
     language: str
+    labels: Labels
+    details: Mapping[str, str]
+
+    @property
+    def summary(self) -> DataFrame:
+        return self._summarize(self.scored)
+
+    @property
+    def report(self) -> DataFrame:
+        return self._report(self.summary)
+
+    def _summarize(self, scored: DataFrame) -> DataFrame:
+        kind = self.kind
+        return summarize(scored, kind.higher_is_better, kind.nan, kind.tasks, kind.pairs)
+
+    def _report(self, summary: DataFrame) -> DataFrame:
+        return report_json(summary, self.kind, self.labels, self.language, **self.details)
+
+    def _names(self) -> dict[str, str]:
+        """The reported name of each score column there is."""
+        return {t.label: self.kind.column_name(t, self.labels)
+                for t in self.kind.tasks if t.label in self.scored.columns}
 
     def results(self) -> DataFrame:
         """Original columns and score columns under their reported names."""
-        scores = [self.scored[t.label].alias(self.kind.column_name(t, self.labels))
-                  for t in self.kind.tasks if t.label in self.scored.columns]
+        names = self._names()
         if "original" in self.scored.columns:
             fields = self.scored.schema["original"].dataType.fieldNames()
             own = [self.scored["original"].getField(f).alias(f) for f in fields]
         else:
             own = [exact(c) for c in self.scored.columns
-                   if c not in {t.label for t in self.kind.tasks} and not c.startswith("failed_")]
-        return self.scored.select(*own, *scores)
+                   if c not in names and not c.startswith("failed_")]
+        return self.scored.select(*own, *(F.col(c).alias(name) for c, name in names.items()))
 
     def write(self, root: str, file_format: str = "parquet") -> None:
-        """Results and report under <root>/<kind>/<language folder>."""
+        """Results and report under <root>/<kind>/<language folder>.
+
+        The report is made from the score columns of the written results, so
+        the texts are read and scored once. Delimited text does not tell NaN
+        from NULL, so for it there is a typed copy in between.
+        """
         profile = PROFILES.get(self.language)
         path = output_path(root, self.kind.name, profile.folder if profile else self.language)
-        write_results(self.results(), f"{path}/results", file_format)
-        write_report(self.report, f"{path}/report")
+        results = self.results()
+        if file_format == "csv":
+            stored = materialize(results, "results")
+            write_results(stored, f"{path}/results", file_format)
+        else:
+            write_results(results, f"{path}/results", file_format)
+            stored = (self.scored.sparkSession.read.schema(results.schema)
+                      .format(file_format).load(f"{path}/results"))
+        scores = stored.select(*(exact(name).alias(c)
+                                 for c, name in self._names().items()))
+        write_report(self._report(self._summarize(scores)), f"{path}/report")
 
 
 def evaluate(triples: DataFrame, kind: ReportKind, language: str, scorer: Scorer | None = None,
@@ -57,8 +93,8 @@ def evaluate(triples: DataFrame, kind: ReportKind, language: str, scorer: Scorer
     """Score triples and report on them.
 
     Give a scorer, or the long scores of an outside one (seg_id, task, score).
-    A batch scorer's scores are written down first, as they are used by the
-    summary and by the result table.
+    A batch scorer's scores are written down first, as they may be used more
+    than once.
     """
     if (scorer is None) == (scores is None):
         raise ValueError("give either a scorer or scores")
@@ -74,6 +110,4 @@ def evaluate(triples: DataFrame, kind: ReportKind, language: str, scorer: Scorer
         scored = attach_scores(triples, scores, kind.tasks)
     profile = PROFILES[language]
     labels = profile.corrected_labels if corrected_labels else profile.labels
-    summary = summarize(scored, kind.higher_is_better, kind.nan, kind.tasks, kind.pairs)
-    report = report_json(summary, kind, labels, language, **details)
-    return Evaluation(scored, summary, report, kind, labels, language)
+    return Evaluation(scored, kind, language, labels, details)

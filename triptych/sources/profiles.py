@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triptych.functions.text import exact
 from triptych.operators.headers import resolve_roles
-from triptych.operators.triples import project_triples
+from triptych.operators.triples import TEXTS, drop_incomplete_triples, project_triples
 from triptych.sources.readers import read_table
 
 Labels = Mapping[str, str]
@@ -78,6 +79,24 @@ def load_triples(spark: SparkSession, path: str, language: str, key: str | None
     return project_triples(table, roles, key)
 
 
+def load_languages(spark: SparkSession, path: str, languages: Sequence[str], key: str,
+                   multiline: bool = True) -> DataFrame:
+    """Complete triples of several languages that share a table, read once.
+
+    Gives language, seg_id (from `key`) and the texts.
+    """
+    table = read_table(spark, path, multiline)
+    per_language = []
+    for language in languages:
+        roles = resolve_roles(table.columns, PROFILES[language].headers)
+        per_language.append(F.struct(F.lit(language).alias("language"),
+                                     *(exact(roles[r]).alias(r) for r in TEXTS)))
+    rows = table.select(exact(key).cast("long").alias("seg_id"),
+                        F.explode(F.array(*per_language)).alias("_row"))
+    return drop_incomplete_triples(rows.select("_row.language", "seg_id",
+                                               *(f"_row.{r}" for r in TEXTS)))
+
+
 def union_languages(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Frames of several languages as one, with a `language` column."""
     named = [df.select(F.lit(language).alias("language"), "*") for language, df in frames.items()]

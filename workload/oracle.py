@@ -56,7 +56,7 @@ def _nan_below(hyp: str, against: str) -> str:
             f"ELSE {_overlap(hyp, against)} END")
 
 
-CONV_SCORED = (f"SELECT part, {_scores(NINE, _nan_below)} FROM ({CONV}) WHERE {COMPLETE}")
+CONV_SCORED = (f"SELECT conv_id, part, {_scores(NINE, _nan_below)} FROM ({CONV}) WHERE {COMPLETE}")
 
 
 def _wins(left: str, right: str, sign: str) -> str:
@@ -88,7 +88,7 @@ ORACLE_SQL["nine_task_scores_long"] = " UNION ALL ".join(
 ORACLE_SQL["nine_task_scores_wide"] = _scored(NINE, keep="seg_id")
 ORACLE_SQL["batch_scorer_pandas"] = ORACLE_SQL["nine_task_scores_wide"]
 ORACLE_SQL["request_reply_round_trip"] = ORACLE_SQL["nine_task_scores_wide"]
-ORACLE_SQL["averages_propagate_nan"] = _mean_rows(CONV_SCORED, "part", skip=False)
+ORACLE_SQL["averages_propagate_nan"] = _mean_rows(CONV_SCORED, "conv_id", skip=False)
 ORACLE_SQL["averages_skip_nan"] = _mean_rows(CONV_SCORED, "part", skip=True)
 ORACLE_SQL["win_rates_with_nan"] = _pair_rows(CONV_SCORED, ">", "part")
 ORACLE_SQL["win_rates_higher_better"] = _pair_rows(_scored(QE), ">")

@@ -51,7 +51,7 @@ from triptych.operators.tasks import NINE_TASKS, QE_TASKS, expand_tasks
 from triptych.operators.triples import drop_incomplete_triples, scorer_frame
 from triptych.plans.creation import create_dataset
 from triptych.plans.evaluation import evaluate
-from triptych.sources.profiles import PROFILES, load_triples, union_languages
+from triptych.sources.profiles import PROFILES, load_languages, load_triples, union_languages
 from triptych.sources.readers import (
     read_base,
     read_curated,
@@ -114,7 +114,7 @@ def _conversation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def averages_propagate_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return averages(_conversation_scores(spark, sf_dir), "propagate", NINE_TASKS, by=["part"])
+    return averages(_conversation_scores(spark, sf_dir), "propagate", NINE_TASKS, by=["conv_id"])
 
 
 @query
@@ -480,10 +480,10 @@ def _language_file(spark: SparkSession, sf_dir: str) -> str:
 @query
 def language_configured_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _language_file(spark, sf_dir)
-    frames = {language: score_triples(load_triples(spark, path, language, key="Idiom ID"),
-                                      WORD_OVERLAP, QE_TASKS)
-              for language in PROFILES}
-    return win_rates(union_languages(frames), True, by=["language"])
+    german = load_triples(spark, path, "de", key="Idiom ID").drop("original")
+    urdu = load_languages(spark, path, ["ur-native", "ur-roman"], key="Idiom ID")
+    triples = union_languages({"de": german}).unionByName(urdu)
+    return win_rates(score_triples(triples, WORD_OVERLAP, QE_TASKS), True, by=["language"])
 
 
 @query
