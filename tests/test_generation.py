@@ -79,7 +79,8 @@ def replay(spark, rows):
 def test_retry_rounds(spark):
     rows = [("german", 1, 1, GOOD % 1, 1, 1), ("german", 1, 2, GOOD % 1, 1, 1),
             ("german", 2, 1, BAD, 1, 1), ("german", 2, 2, '{"target_A": 1}', 1, 1), ("german", 2, 3, GOOD % 2, 1, 1),
-            ("german", 3, 1, BAD, 1, 1), ("german", 3, 2, "{}", 1, 1), ("german", 3, 4, GOOD % 3, 1, 1)]
+            ("german", 3, 1, BAD, 1, 1), ("german", 3, 2, "{}", 1, 1), ("german", 3, 4, GOOD % 3, 1, 1),
+            ("german", 1, 1, None, None, None)]
     prompts = spark.createDataFrame([(i, f"p{i}", f"kept{i}") for i in (1, 2, 3, 4)],
                                     "idiom_id long, prompt string, `odd (x)` string")
     result = run_stage(GERMAN, prompts, replay(spark, rows), new_path(spark, "t"))

@@ -8,6 +8,7 @@ from triptych.operators.lexical import WORD_DISTANCE, WORD_OVERLAP, batch_overla
 from triptych.operators.report import CALIBRATED, DISTANCE, JUDGE
 from triptych.operators.scoring import (
     BatchScorer,
+    ColumnScorer,
     attach_scores,
     fail_whole_groups,
     failed_column,
@@ -60,8 +61,9 @@ def test_all_forms_of_scoring_agree(spark):
     wide = {r.seg_id: r for r in score_triples(triples, WORD_OVERLAP).collect()}
     batch = {r.seg_id: r for r in score_triples(triples, batch_overlap(), spread=3).collect()}
     pairs = {(r.seg_id, r.task): r for r in score_pairs(expand_tasks(triples), WORD_OVERLAP).collect()}
-    unpivoted = {(r.seg_id, r.task): r.score for r in
-                 long_scores(score_triples(triples, WORD_OVERLAP)).collect()}
+    rows = long_scores(score_triples(triples, WORD_OVERLAP)).collect()
+    unpivoted = {(r.seg_id, r.task): r.score for r in rows}
+    unpivoted_qe = {(r.seg_id, r.task): r.is_qe for r in rows}
     assert len(pairs) == len(unpivoted) == 200 * 9
     for seg_id, row in wide.items():
         texts = {"A": row.cand_a, "B": row.cand_b, "C": row.cand_c, None: row.src}
@@ -70,6 +72,7 @@ def test_all_forms_of_scoring_agree(spark):
             assert row[task.label] == batch[seg_id][task.label] == want
             assert pairs[seg_id, task.label].score == unpivoted[seg_id, task.label] == want
             assert pairs[seg_id, task.label].is_qe == task.reference_free
+            assert unpivoted_qe[seg_id, task.label] == task.reference_free
             assert batch[seg_id][failed_column(task.label)] is False
 
 
@@ -252,6 +255,15 @@ def test_scorer_variants(spark):
     assert first_score_is_zero(score_triples(triples, WORD_OVERLAP)).first()[0] is False
 
 
+def test_scorer_without_a_shared_measure(spark):
+    longer = ColumnScorer("longer", True, F.length, lambda h, other: h - other)
+    triples = spark.createDataFrame([(1, "abc", "a", "ab", "abcdef")], TRIPLES)
+    row = score_triples(triples, longer).first()
+    assert (row.Score_QE_A, row.Score_B_Ref_A, row.Score_A_Ref_C) == (-2.0, 1.0, -5.0)
+    rows = {r.task: r.score for r in score_pairs(expand_tasks(triples), longer).collect()}
+    assert all(rows[t.label] == row[t.label] for t in NINE_TASKS)
+
+
 def test_kinds_sort_as_they_should():
     assert [(k.name, k.higher_is_better, k.nan) for k in (JUDGE, CALIBRATED, DISTANCE)] == [
         ("judge", True, "propagate"), ("calibrated", True, "propagate"), ("distance", False, "skip")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,22 +15,24 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.split(text, " "))
 
 
-def overlap(hypothesis: Column, against: Column) -> Column:
+def shared_words(one: Column, other: Column) -> Column:
+    return F.size(F.array_intersect(one, other))
+
+
+def overlap(hypothesis: Column, shared: Column) -> Column:
     """Percent of the hypothesis' words that the other text has, as a whole number."""
-    shared = F.size(F.array_intersect(hypothesis, against))
     return F.floor(shared * 100 / F.size(hypothesis)).cast("double")
 
 
-WORD_OVERLAP = ColumnScorer("word overlap", True, words, overlap)
-WORD_DISTANCE = ColumnScorer("word distance", False, words, lambda h, a: 100 - overlap(h, a))
+WORD_OVERLAP = ColumnScorer("word overlap", True, words, overlap, shared_words)
+WORD_DISTANCE = ColumnScorer("word distance", False, words, lambda h, n: 100 - overlap(h, n),
+                             shared_words)
 
 
 def nan_below(scorer: ColumnScorer, least_words: int) -> ColumnScorer:
     """`scorer`, but NaN for hypotheses of fewer different words."""
-    return ColumnScorer(
-        scorer.name, scorer.higher_is_better, scorer.prepare,
-        lambda h, a: F.when(F.size(h) < least_words, F.lit(float("nan"))).otherwise(
-            scorer.compare(h, a)))
+    return replace(scorer, compare=lambda h, other: F.when(
+        F.size(h) < least_words, F.lit(float("nan"))).otherwise(scorer.compare(h, other)))
 
 
 def _overlap_model() -> Model:

@@ -24,14 +24,17 @@ Model = Callable[[Texts, Texts, Texts | None], Sequence[float]]
 class ColumnScorer:
     """A scorer made of Spark columns.
 
-    `prepare` is applied once to each text, `compare` to a prepared hypothesis
-    and the prepared text it is judged against.
+    `prepare` is applied once to each text. `compare` gives the score of a
+    prepared hypothesis, from it and the prepared text it is judged against.
+    With `shared`, a measure that two prepared texts have in common whichever
+    way round, `compare` gets that instead, and it is computed once per pair.
     """
 
     name: str
     higher_is_better: bool
     prepare: Callable[[Column], Column]
     compare: Callable[[Column, Column], Column]
+    shared: Callable[[Column, Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -83,11 +86,18 @@ def score_triples(triples: DataFrame, scorer: Scorer, tasks: Sequence[Task] = NI
 
 
 def _score_by_columns(triples: DataFrame, scorer: ColumnScorer, tasks: Sequence[Task]) -> DataFrame:
-    used = sorted({CANDIDATE[t.hyp] for t in tasks} | {_against(t) for t in tasks})
-    prepared = triples.select("*", *(scorer.prepare(F.col(c)).alias(f"_{c}") for c in used))
-    scores = [scorer.compare(F.col("_" + CANDIDATE[t.hyp]), F.col("_" + _against(t)))
-              .cast("double").alias(t.label) for t in tasks]
-    return prepared.select(*triples.columns, *scores)
+    sides = [(CANDIDATE[t.hyp], _against(t)) for t in tasks]
+    used = sorted({column for side in sides for column in side})
+    frame = triples.select("*", *(scorer.prepare(F.col(c)).alias(f"_{c}") for c in used))
+    other = {side: f"_{side[1]}" for side in sides}
+    if scorer.shared:
+        pairs = sorted({tuple(sorted(side)) for side in sides})
+        frame = frame.select("*", *(scorer.shared(F.col(f"_{x}"), F.col(f"_{y}")).alias(f"_{x}_{y}")
+                                    for x, y in pairs))
+        other = {side: "_" + "_".join(sorted(side)) for side in sides}
+    scores = [scorer.compare(F.col(f"_{side[0]}"), F.col(other[side])).cast("double").alias(t.label)
+              for t, side in zip(tasks, sides, strict=True)]
+    return frame.select(*triples.columns, *scores)
 
 
 def _chunks(groups: pd.Series, rows_per_call: int) -> Iterator[np.ndarray]:
@@ -169,18 +179,20 @@ def fail_whole_groups(scored: DataFrame, scorer: BatchScorer, tasks: Sequence[Ta
 
 def score_pairs(pairs: DataFrame, scorer: ColumnScorer, name: str = "score") -> DataFrame:
     """Add a score to a long frame with src, hyp and ref."""
-    against = F.coalesce("ref", "src")
-    prepared = pairs.select("*", scorer.prepare(F.col("hyp")).alias("_hyp"),
-                            scorer.prepare(against).alias("_against"))
-    return prepared.select(*pairs.columns, scorer.compare(F.col("_hyp"), F.col("_against"))
-                           .cast("double").alias(name))
+    hypothesis, other = F.col("_hyp"), F.col("_against")
+    frame = pairs.select("*", scorer.prepare(F.col("hyp")).alias("_hyp"),
+                         scorer.prepare(F.coalesce("ref", "src")).alias("_against"))
+    if scorer.shared:
+        other = scorer.shared(hypothesis, other)
+    return frame.select(*pairs.columns, scorer.compare(hypothesis, other).cast("double").alias(name))
 
 
 def long_scores(scored: DataFrame, tasks: Sequence[Task] = NINE_TASKS,
                 keys: Sequence[str] = ("seg_id",), name: str = "score") -> DataFrame:
-    """Score columns as rows of keys, task, score."""
-    labels = [t.label for t in tasks if t.label in scored.columns]
-    return scored.select(*keys, *labels).unpivot(list(keys), labels, "task", name)
+    """Score columns as rows: keys, task, is_qe, score."""
+    rows = F.array(*(F.struct(F.lit(t.label).alias("task"), F.lit(t.reference_free).alias("is_qe"),
+                              F.col(t.label).alias(name)) for t in tasks if t.label in scored.columns))
+    return scored.select(*keys, F.explode(rows).alias("_row")).select(*keys, "_row.*")
 
 
 def attach_scores(triples: DataFrame, scores: DataFrame, tasks: Sequence[Task] = NINE_TASKS,

@@ -87,14 +87,19 @@ class ModelGenerator:
 
 @dataclass(frozen=True)
 class ReplayGenerator:
-    """Replies that were recorded in an attempts table."""
+    """Replies that were recorded in an attempts table.
+
+    Of an attempt recorded twice one reply is taken, an answer before a failure.
+    """
 
     attempts: DataFrame
 
     def reply(self, prompts: DataFrame, stage: str, attempt: int) -> DataFrame:
+        answer = F.struct("response", "prompt_tokens", "completion_tokens")
         recorded = (self.attempts
                     .filter((F.col("stage") == stage) & (F.col("attempt") == attempt))
-                    .select("idiom_id", "response", "prompt_tokens", "completion_tokens"))
+                    .groupBy("idiom_id").agg(F.max(answer).alias("_answer"))
+                    .select("idiom_id", "_answer.*"))
         return prompts.join(recorded, "idiom_id", "left")
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from collections.abc import Iterable
+from pathlib import Path
+from types import ModuleType
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -35,3 +41,14 @@ def build_session(app: str = "triptych", master: str | None = None, input_bytes:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession, packages: Iterable[ModuleType]) -> None:
+    """Make packages importable in the Python workers of all executors."""
+    archive = Path(tempfile.mkdtemp(prefix="packages-")) / "packages.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in packages:
+            folder = Path(package.__file__).parent
+            for source in sorted(folder.rglob("*.py")):
+                out.write(source, source.relative_to(folder.parent))
+    spark.sparkContext.addPyFile(str(archive))

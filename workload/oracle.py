@@ -85,6 +85,7 @@ ORACLE_SQL["qe_scores_wide"] = _scored(QE, keep="seg_id")
 ORACLE_SQL["nine_task_scores_long"] = " UNION ALL ".join(
     f"SELECT seg_id, '{label}' AS task, {str(against == 'src').lower()} AS is_qe, "
     f"{_overlap(hyp, against)} AS score FROM ({TRI})" for label, hyp, against in NINE)
+ORACLE_SQL["nine_task_scores_of_pairs"] = ORACLE_SQL["nine_task_scores_long"]
 ORACLE_SQL["nine_task_scores_wide"] = _scored(NINE, keep="seg_id")
 ORACLE_SQL["batch_scorer_pandas"] = ORACLE_SQL["nine_task_scores_wide"]
 ORACLE_SQL["request_reply_round_trip"] = ORACLE_SQL["nine_task_scores_wide"]

@@ -33,6 +33,7 @@ from triptych.operators.scoring import (
     Model,
     attach_scores,
     fail_whole_groups,
+    long_scores,
     score_pairs,
     score_triples,
 )
@@ -97,6 +98,12 @@ def qe_scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nine_task_scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_scores(score_triples(document_triples(spark, sf_dir), WORD_OVERLAP))
+
+
+@query
+def nine_task_scores_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the expanded table, as an outside scorer has to do it."""
     pairs = expand_tasks(document_triples(spark, sf_dir))
     return score_pairs(pairs, WORD_OVERLAP).select("seg_id", "task", "is_qe", "score")
 
