@@ -327,12 +327,20 @@ def stage_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *(_stage_replies(attempts, s) for s in (GERMAN, IDENTIFICATION, URDU)))
 
 
+def _recorded(spark: SparkSession, sf_dir: str) -> ReplayGenerator:
+    """The attempts as a table, so that every round reads just its own."""
+    path = new_path(spark, "recorded")
+    event_attempts(spark, sf_dir).write.partitionBy("stage", "attempt").parquet(path)
+    schema = event_attempts(spark, sf_dir).schema
+    return ReplayGenerator(spark.read.schema(schema).parquet(path))
+
+
 @query
 def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     idioms = part_idioms(spark, sf_dir)
     prompts = idioms.select("idiom_id", german_prompt(
         F.col("idiom"), F.col("meaning"), F.col("german_idiom")).alias("prompt"))
-    result = run_stage(GERMAN, prompts, ReplayGenerator(event_attempts(spark, sf_dir)),
+    result = run_stage(GERMAN, prompts, _recorded(spark, sf_dir),
                        new_path(spark, "retry"))
     return result.attempts.select("idiom_id", "attempt", "prompt_tokens",
                                   F.col("reply").isNotNull().alias("valid"))
@@ -347,7 +355,7 @@ def _reviewed_idioms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dataset_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = create_dataset(part_idioms(spark, sf_dir), ReplayGenerator(event_attempts(spark, sf_dir)),
+    run = create_dataset(part_idioms(spark, sf_dir), _recorded(spark, sf_dir),
                          new_path(spark, "creation"), _reviewed_idioms(spark, sf_dir))
     return run.dataset
 
