@@ -10,7 +10,7 @@ from triptych.operators.scoring import (
     BatchScorer,
     ColumnScorer,
     attach_scores,
-    fail_whole_groups,
+    fail_whole_calls,
     failed_column,
     long_scores,
     score_pairs,
@@ -125,13 +125,16 @@ def test_failed_calls(spark, on_failure):
     single = [r for r in scored.collect() if r.failed_Score_QE_A]
     assert 1 <= len(single) <= 5 and {r.g for r in single} == {"g2"}
     assert {r.Score_QE_A for r in single} == {lost}
-    whole = fail_whole_groups(scored, scorer, QE_TASKS, "g").collect()
+    whole = fail_whole_calls(scored, scorer, QE_TASKS, "g").collect()
     assert len(whole) == 60
     for row in whole:
         assert row.Score_QE_A == (lost if row.g == "g2" else 1.0)
         assert row.failed_Score_QE_A == (row.g == "g2")
         assert row.Score_QE_B == row.Score_QE_C == 1.0 and not row.failed_Score_QE_B
-    summary = summarize(fail_whole_groups(scored, scorer, QE_TASKS, "g"), True).first()
+    everything = fail_whole_calls(scored, scorer, QE_TASKS).collect()
+    assert {r.Score_QE_A for r in everything} == {lost} and {r.Score_QE_B for r in everything} == {1.0}
+    assert all(r.failed_Score_QE_A and not r.failed_Score_QE_C for r in everything)
+    summary = summarize(fail_whole_calls(scored, scorer, QE_TASKS, "g"), True).first()
     assert summary.failed_Score_QE_A == 20 and summary.failed_Score_QE_B == 0
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triptych.functions.text import exact
 from triptych.operators.joins import broadcast_if_small
 from triptych.operators.tasks import CANDIDATE, NINE_TASKS, Task
 from triptych.sources.shared import materialize
@@ -149,32 +150,29 @@ def _score_by_batches(triples: DataFrame, scorer: BatchScorer, tasks: Sequence[T
             .select(*triples.columns, "_scores.*"))
 
 
-def fail_whole_groups(scored: DataFrame, scorer: BatchScorer, tasks: Sequence[Task],
-                      call_group: str) -> DataFrame:
-    """Let one failed call void all scores of its task in its group.
+def fail_whole_calls(scored: DataFrame, scorer: BatchScorer, tasks: Sequence[Task],
+                     call_group: str | None = None) -> DataFrame:
+    """Let one failed call void all scores of its task, in its group if there are groups.
 
-    This is what happens when a group is scored in a single call, however many
-    batches it was scored in here. `scored` must be materialized. Groups are
-    languages or the like: few, but this is checked.
+    This is what happens when all rows, or all of a group, are scored in a
+    single call, however many batches it was in here. `scored` must be
+    materialized. Groups are languages or the like: few, but this is checked.
     """
-    flags = [F.max(failed_column(t.label)).alias(f"_any_{t.label}") for t in tasks]
-    any_failed = F.greatest(*(F.col(f"_any_{t.label}") for t in tasks)) if len(tasks) > 1 \
-        else F.col(f"_any_{tasks[0].label}")
-    voided = materialize(scored.groupBy(call_group).agg(*flags).filter(any_failed), "voided")
-    joined = scored.join(broadcast_if_small(voided), call_group, "left")
+    labels = [t.label for t in tasks]
+    flags = [F.coalesce(F.max(failed_column(x)), F.lit(False)).alias(f"_any_{x}") for x in labels]
+    if call_group is None:
+        found = scored.agg(*flags).first()
+        joined, void = scored, {x: F.lit(found[f"_any_{x}"]) for x in labels}
+    else:
+        voided = scored.groupBy(call_group).agg(*flags).filter(
+            F.array_contains(F.array(*(F.col(f"_any_{x}") for x in labels)), True))
+        voided = broadcast_if_small(materialize(voided, "voided"))
+        joined = scored.join(voided, call_group, "left")
+        void = {x: F.coalesce(f"_any_{x}", F.lit(False)) for x in labels}
     fallback = F.lit(0.0 if scorer.on_failure == "zero" else None).cast("double")
-    columns = []
-    for name in scored.columns:
-        task = next((t for t in tasks if name in (t.label, failed_column(t.label))), None)
-        if task is None:
-            columns.append(F.col(f"`{name}`"))
-            continue
-        void = F.coalesce(f"_any_{task.label}", F.lit(False))
-        if name == task.label:
-            columns.append(F.when(void, fallback).otherwise(F.col(name)).alias(name))
-        else:
-            columns.append((void | F.col(name)).alias(name))
-    return joined.select(*columns)
+    changed = {x: F.when(void[x], fallback).otherwise(F.col(x)) for x in labels}
+    changed |= {failed_column(x): void[x] | F.col(failed_column(x)) for x in labels}
+    return joined.select(*(changed[c].alias(c) if c in changed else exact(c) for c in scored.columns))
 
 
 def score_pairs(pairs: DataFrame, scorer: ColumnScorer, name: str = "score") -> DataFrame:

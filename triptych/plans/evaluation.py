@@ -14,7 +14,7 @@ from triptych.operators.scoring import (
     BatchScorer,
     Scorer,
     attach_scores,
-    fail_whole_groups,
+    fail_whole_calls,
     score_triples,
 )
 from triptych.operators.stats import summarize
@@ -88,13 +88,14 @@ class Evaluation:
 
 def evaluate(triples: DataFrame, kind: ReportKind, language: str, scorer: Scorer | None = None,
              scores: DataFrame | None = None, corrected_labels: bool = False,
-             spread: int | None = None, call_group: str | None = None,
+             spread: int | None = None, call_group: str | None = None, whole_calls: bool = False,
              **details: str) -> Evaluation:
     """Score triples and report on them.
 
     Give a scorer, or the long scores of an outside one (seg_id, task, score).
     A batch scorer's scores are written down first, as they may be used more
-    than once.
+    than once. With `whole_calls` one failed call voids its task for all rows of
+    its `call_group`, or for all rows, as if they were scored in one call.
     """
     if (scorer is None) == (scores is None):
         raise ValueError("give either a scorer or scores")
@@ -104,8 +105,8 @@ def evaluate(triples: DataFrame, kind: ReportKind, language: str, scorer: Scorer
         scored = score_triples(triples, scorer, kind.tasks, call_group, spread)
         if isinstance(scorer, BatchScorer):
             scored = materialize(scored, "scored")
-            if call_group:
-                scored = fail_whole_groups(scored, scorer, kind.tasks, call_group)
+            if whole_calls:
+                scored = fail_whole_calls(scored, scorer, kind.tasks, call_group)
     else:
         scored = attach_scores(triples, scores, kind.tasks)
     profile = PROFILES[language]

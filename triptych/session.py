@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -43,12 +41,11 @@ def build_session(app: str = "triptych", master: str | None = None, input_bytes:
     return builder.getOrCreate()
 
 
-def ship(spark: SparkSession, packages: Iterable[ModuleType]) -> None:
-    """Make packages importable in the Python workers of all executors."""
-    archive = Path(tempfile.mkdtemp(prefix="packages-")) / "packages.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for package in packages:
-            folder = Path(package.__file__).parent
-            for source in sorted(folder.rglob("*.py")):
-                out.write(source, source.relative_to(folder.parent))
-    spark.sparkContext.addPyFile(str(archive))
+def send_code(packages: Iterable[ModuleType]) -> None:
+    """Have functions of these packages sent to the Python workers with the jobs.
+
+    Without this, every executor must be able to import the packages, for
+    instance by `--py-files`.
+    """
+    for package in packages:
+        cloudpickle.register_pickle_by_value(package)

@@ -32,7 +32,7 @@ from triptych.operators.scoring import (
     BatchScorer,
     Model,
     attach_scores,
-    fail_whole_groups,
+    fail_whole_calls,
     long_scores,
     score_pairs,
     score_triples,
@@ -190,7 +190,7 @@ def scorer_failure_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     scorer = BatchScorer("picky overlap", True, _picky_model, on_failure="zero")
     scored = score_triples(document_triples(spark, sf_dir), scorer, QE_TASKS, call_group="source")
     scored = materialize(scored.drop("src", "cand_a", "cand_b", "cand_c"), "picky")
-    return fail_whole_groups(scored, scorer, QE_TASKS, "source").drop("lang")
+    return fail_whole_calls(scored, scorer, QE_TASKS, "source").drop("lang")
 
 
 def _outside_scorer(spark: SparkSession, requests: str) -> DataFrame:
