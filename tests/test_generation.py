@@ -132,6 +132,15 @@ def test_resumed_run_asks_nothing_again(spark, tmp_path):
     assert cost_summary(result.attempts).filter("stage = 'total'").first().prompt_tokens == 9
 
 
+def test_prompts_go_to_the_model_once_and_alone(spark):
+    prompts = spark.createDataFrame([(1, "p", "k")], "idiom_id long, prompt string, other string")
+    answered = ModelGenerator(lambda: lambda p: (p, 1, 1)).reply(prompts, "s", 1)
+    assert answered.columns == ["idiom_id", "prompt", "other", "response", "prompt_tokens", "completion_tokens"]
+    plan = answered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert tuple(answered.first()) == (1, "p", "k", "p", 1, 1)
+
+
 def test_model_without_tokens(spark):
     prompts = spark.createDataFrame([(1, "p")], "idiom_id long, prompt string")
     result = run_stage(Stage("s", ("a",)), prompts, ModelGenerator(lambda: lambda p: ('{"a": "x"}', None, None)),

@@ -80,6 +80,7 @@ def test_scoring_shuffles_nothing(spark):
     for scorer in (WORD_OVERLAP, batch_overlap()):
         plan = score_triples(random_triples(spark, 5), scorer)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+        assert plan.count("ArrowEvalPython") == (0 if scorer is WORD_OVERLAP else 1)
 
 
 def test_gathering_and_projection(spark):
@@ -138,6 +139,19 @@ def test_failed_calls(spark, on_failure):
     assert summary.failed_Score_QE_A == 20 and summary.failed_Score_QE_B == 0
 
 
+def test_missing_scores_of_a_model_stay_nan(spark):
+    scorer = BatchScorer("holes", True, lambda: lambda s, h, r: [NAN if x == "n" else None if x == "m" else 2
+                                                                 for x in h])
+    triples = spark.createDataFrame([(1, "s", "n", "x", "x"), (2, "s", "m", "x", "x"), (3, "s", "x", "x", "n")],
+                                    TRIPLES)
+    scored = score_triples(triples, scorer, QE_TASKS)
+    rows = {r.seg_id: r for r in scored.collect()}
+    assert math.isnan(rows[1].Score_QE_A) and math.isnan(rows[2].Score_QE_A) and rows[3].Score_QE_A == 2.0
+    assert not any(r.failed_Score_QE_A for r in rows.values())
+    assert math.isnan(averages(scored, "propagate").filter("task = 'Score_QE_A'").first().average)
+    assert averages(scored, "skip").filter("task = 'Score_QE_A'").first().average == 2.0
+
+
 def test_wrong_number_of_scores_is_a_failure(spark):
     scorer = BatchScorer("short", True, lambda: lambda s, h, r: [1.0], on_failure="null")
     rows = score_triples(random_triples(spark, 4).coalesce(1), scorer, QE_TASKS).collect()

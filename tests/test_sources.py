@@ -1,5 +1,8 @@
+import csv
 import json
+import random
 
+import pandas as pd
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -39,6 +42,35 @@ def test_table_rules(spark, tmp_path):
                     "3": (None, None, None), "4": ("\\", None, "z")}
 
 
+CELLS = ["x", "a b", "", "NA", "nan", "NaN ", " None", "null", "1.0", "007", 'q"q', '"', "a,b", "l\nb", "\\",
+         "\\n", "é جل", " pad ", "\tt", "N/A", "-", "#N/A", "''"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reading_agrees_with_pandas(spark, tmp_path, seed):
+    draw = random.Random(seed)
+    header = ["key", "Text (A)", "b.c", "d`e"]
+    rows = [[str(i), *(draw.choice(CELLS) for _ in header[1:])] for i in range(300)]
+    path = tmp_path / "random.csv"
+    with open(path, "w", newline="", encoding="utf-8-sig") as f:
+        csv.writer(f, lineterminator="\n", quoting=draw.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL])
+                   ).writerows([header, *rows])
+    wanted = pd.read_csv(path, dtype=str)
+    want = sorted(tuple(None if pd.isna(v) else v for v in r) for r in wanted.itertuples(index=False))
+    got = read_table(spark, str(path))
+    assert got.columns == list(wanted.columns) == header
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[0]) == want
+
+
+def test_pandas_reads_what_is_written(spark, tmp_path):
+    rows = [(str(i), c, None) for i, c in enumerate(CELLS)]
+    write_table(spark.createDataFrame(rows, "key string, `Text (A)` string, none string").coalesce(1),
+                str(tmp_path / "out"))
+    part = next((tmp_path / "out").glob("part-*"))
+    frame = pd.read_csv(part, dtype=str, keep_default_na=False)
+    assert [tuple(r) for r in frame.itertuples(index=False)] == [(k, c, "") for k, c, _ in rows]
+
+
 def test_too_many_fields_stop_the_job(spark, tmp_path):
     path = put(tmp_path, "t.csv", "a,b\n1,2\n1,2,3\n")
     with pytest.raises(PySparkException):

@@ -44,7 +44,7 @@ class BatchScorer:
 
     `build` makes the model, once per Spark task. The model gets sources,
     hypotheses and references (None when reference-free) and gives one number
-    per text. `on_failure` says what a failed call leaves for its texts:
+    per text, NaN or None where it has none. `on_failure` says what a failed call leaves for its texts:
     `zero`, `null`, or `fail` to stop the job.
     """
 
@@ -109,45 +109,61 @@ def _chunks(groups: pd.Series, rows_per_call: int) -> Iterator[np.ndarray]:
             yield rows[start:start + rows_per_call]
 
 
+_SCORED, _FAILED, _NAN = 0, 1, 2
+
+
+def _call_model(model: Model, scorer: BatchScorer, sources: list[str], hypotheses: list[str],
+                references: list[str] | None) -> tuple[np.ndarray, int]:
+    """The scores of one call and whether it failed; a failed one has the fallback score."""
+    try:
+        scores = np.array([np.nan if v is None else float(v)
+                           for v in model(sources, hypotheses, references)])
+        if len(scores) != len(hypotheses):
+            raise ValueError(f"{len(scores)} scores for {len(hypotheses)} texts")
+        return scores, _SCORED
+    except Exception:
+        if scorer.on_failure == "fail":
+            raise
+        return np.full(len(hypotheses), 0.0), _FAILED
+
+
 def _score_by_batches(triples: DataFrame, scorer: BatchScorer, tasks: Sequence[Task],
                       call_group: str | None) -> DataFrame:
     texts = sorted({"src"} | {CANDIDATE[t.hyp] for t in tasks} | {_against(t) for t in tasks})
-    fallback = 0.0 if scorer.on_failure == "zero" else None
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         model = scorer.build()
         for groups, *columns in batches:
-            text = dict(zip(texts, columns, strict=True))
+            text = dict(zip(texts, (c.to_numpy() for c in columns), strict=True))
+            calls = list(_chunks(groups, scorer.rows_per_call))
             out: dict[str, Any] = {}
             for task in tasks:
-                scores = np.full(len(groups), None, dtype=object)
-                failed = np.zeros(len(groups), dtype=bool)
-                for rows in _chunks(groups, scorer.rows_per_call):
-                    def pick(name: str) -> list[str]:
-                        return text[name].iloc[rows].tolist()
-                    try:
-                        values = list(model(pick("src"), pick(CANDIDATE[task.hyp]),
-                                            pick(CANDIDATE[task.ref]) if task.ref else None))
-                        if len(values) != len(rows):
-                            raise ValueError(f"{len(values)} scores for {len(rows)} texts")
-                        scores[rows] = values
-                    except Exception:
-                        if scorer.on_failure == "fail":
-                            raise
-                        scores[rows] = fallback
-                        failed[rows] = True
-                out[task.label] = pd.Series(scores, dtype=object)
-                out[failed_column(task.label)] = failed
+                scores = np.zeros(len(groups))
+                status = np.zeros(len(groups), dtype=np.int8)
+                for rows in calls:
+                    scores[rows], status[rows] = _call_model(
+                        model, scorer, list(text["src"][rows]), list(text[CANDIDATE[task.hyp]][rows]),
+                        list(text[CANDIDATE[task.ref]][rows]) if task.ref else None)
+                status[np.isnan(scores)] = _NAN
+                out[task.label], out[failed_column(task.label)] = scores, status
             yield pd.DataFrame(out)
 
     # The texts go to Python once for all tasks; the other columns stay in the JVM.
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]],
                            "return": Iterator[pd.DataFrame]}
-    schema = ", ".join(f"`{t.label}` double, `{failed_column(t.label)}` boolean" for t in tasks)
+    schema = ", ".join(f"`{t.label}` double, `{failed_column(t.label)}` byte" for t in tasks)
     scored = F.pandas_udf(run, schema).asNondeterministic()
     group = F.col(call_group) if call_group else F.lit(0)
-    return (triples.withColumn("_scores", scored(group, *(F.col(c) for c in texts)))
-            .select(*triples.columns, "_scores.*"))
+    frame = triples.withColumn("_scores", scored(group, *(F.col(c) for c in texts)))
+    # NaN would arrive as NULL, so it comes as a status.
+    fallback = F.lit(0.0 if scorer.on_failure == "zero" else None).cast("double")
+    columns = []
+    for task in tasks:
+        score, status = F.col(f"_scores.{task.label}"), F.col(f"_scores.{failed_column(task.label)}")
+        columns += [F.when(status == _NAN, F.lit(float("nan"))).when(status == _FAILED, fallback)
+                    .otherwise(score).alias(task.label),
+                    (status == _FAILED).alias(failed_column(task.label))]
+    return frame.select(*triples.columns, *columns)
 
 
 def fail_whole_calls(scored: DataFrame, scorer: BatchScorer, tasks: Sequence[Task],
