@@ -214,27 +214,29 @@ def attach_scores(triples: DataFrame, scores: DataFrame, tasks: Sequence[Task] =
     """Join long scores to their triples, one column per task.
 
     A task counts only if it has exactly one score for every triple and none
-    besides; the column of any other task is left out with a warning.
+    besides; the column of any other task is left out with a warning. This is
+    checked on keys and counts, before the texts are joined.
     """
     def counter(task: Task) -> str:
         return f"_n_{task.label}"
 
-    per_key = scores.groupBy(*keys).agg(
+    per_key = materialize(scores.groupBy(*keys).agg(
         *(F.max(F.when(F.col("task") == t.label, F.col(value))).alias(t.label) for t in tasks),
-        *(F.count_if(F.col("task") == t.label).alias(counter(t)) for t in tasks))
-    joined = materialize(
-        triples.withColumn("_present", F.lit(True)).join(per_key, list(keys), "full"), "attached")
+        *(F.count_if(F.col("task") == t.label).alias(counter(t)) for t in tasks)), "pivoted")
+    counts = (triples.select(*keys, F.lit(True).alias("_present"))
+              .join(per_key.select(*keys, *(counter(t) for t in tasks)), list(keys), "full"))
     present = F.coalesce("_present", F.lit(False))
-    checks = joined.agg(
+    found = counts.agg(
         F.count_if(present).alias("expected"),
         *(F.coalesce(F.sum(counter(t)), F.lit(0)).alias(f"rows_{t.label}") for t in tasks),
         *(F.count_if(present & (F.col(counter(t)) == 1)).alias(f"matched_{t.label}")
           for t in tasks)).first()
     complete = []
     for task in tasks:
-        if checks["expected"] == checks[f"rows_{task.label}"] == checks[f"matched_{task.label}"]:
+        if found["expected"] == found[f"rows_{task.label}"] == found[f"matched_{task.label}"]:
             complete.append(task.label)
         else:
-            warnings.warn(f"{checks[f'rows_{task.label}']} scores of {task.label} for "
-                          f"{checks['expected']} triples: left out", stacklevel=2)
-    return joined.filter(present).select(*triples.columns, *complete)
+            warnings.warn(f"{found[f'rows_{task.label}']} scores of {task.label} for "
+                          f"{found['expected']} triples: left out", stacklevel=2)
+    return (triples.join(per_key.select(*keys, *complete), list(keys), "left")
+            .select(*triples.columns, *complete))
