@@ -66,3 +66,5 @@ def test_small_cleaners(spark):
     assert sample.exceptAll(review_sample(ids.repartition(3), "id", 10)).isEmpty()
     assert review_sample(ids, "id", 100).count() == 50_000 and review_sample(ids, "id", 0).count() == 0
     assert sample.filter(F.col("id") < 100).count() < 40
+    named = ids.select(F.concat(F.lit("k"), "id").alias("k"))
+    assert 4500 < review_sample(named, "k", 10).count() < 5500

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from triptych.functions.text import exact, strip
 from triptych.operators.ordinal import with_ordinal
@@ -50,8 +51,10 @@ def first_rows(df: DataFrame, key: str | Sequence[str], n: int) -> DataFrame:
 def review_sample(df: DataFrame, key: str, percent: float) -> DataFrame:
     """About `percent` of the rows, always the same ones, for manual review.
 
-    `key` is a whole number; its remainders are scattered so that neighbours
-    do not go together.
+    Remainders of a whole-number key are scattered, so that neighbours do not
+    go together; any other key is hashed.
     """
-    spread = F.pmod(F.pmod(F.col(key), F.lit(_SAMPLE_RANGE)) * _SAMPLE_STEP, F.lit(_SAMPLE_RANGE))
+    whole = isinstance(df.schema[key].dataType, IntegralType)
+    number = F.col(key) if whole else F.xxhash64(key)
+    spread = F.pmod(F.pmod(number, F.lit(_SAMPLE_RANGE)) * _SAMPLE_STEP, F.lit(_SAMPLE_RANGE))
     return df.filter(spread < percent * _SAMPLE_RANGE / 100)

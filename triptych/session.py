@@ -35,7 +35,8 @@ def build_session(app: str = "triptych", master: str | None = None, input_bytes:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes))} | {k.replace("__", "."): v for k, v in extra.items()}
+    settings = {"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes)), **SETTINGS}
+    settings |= {k.replace("__", "."): v for k, v in extra.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

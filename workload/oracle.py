@@ -323,7 +323,7 @@ ORACLE_SQL["row_limit_trial"] = """
 SELECT p_partkey AS idiom_id, p_name AS idiom, p_type AS meaning, p_brand AS german_idiom
 FROM part ORDER BY p_partkey LIMIT 3"""
 
-ORACLE_SQL["formatted_summary"] = f"WITH s AS ({_scored(QE)}) SELECT lang, " + ", ".join(
+ORACLE_SQL["formatted_summary"] = f"WITH s AS ({_scored(QE)}) SELECT lang, count(*) AS n_rows, " + ", ".join(
     f"format('{{:.2f}}', avg(Score_QE_{c})) AS mean_{c.lower()}" for c in "ABC") + (
     f", format('{{:.2f}}%', 100 * ({_wins('Score_QE_A', 'Score_QE_B', '>')})) AS win_ab FROM s GROUP BY lang")
 

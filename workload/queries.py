@@ -204,7 +204,7 @@ def _outside_scorer(spark: SparkSession, requests: str) -> DataFrame:
 
 @query
 def request_reply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples = document_triples(spark, sf_dir)
+    triples = materialize(document_triples(spark, sf_dir), "triples")
     requests, replies = new_path(spark, "requests"), new_path(spark, "replies")
     write_requests(triples, requests)
     _outside_scorer(spark, requests).write.json(replies)
@@ -216,7 +216,7 @@ def request_reply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def request_count_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One task lacks the replies for one language."""
-    triples = document_triples(spark, sf_dir)
+    triples = materialize(document_triples(spark, sf_dir), "triples")
     pairs = expand_tasks(triples, keys=["seg_id", "lang"])
     lost = (F.col("task") == "Score_A_Ref_C") & (F.col("lang") == "fr")
     scores = score_pairs(pairs, WORD_OVERLAP).filter(~lost).select("seg_id", "task", "score")
@@ -458,7 +458,7 @@ def row_limit_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formatted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_triples(document_triples(spark, sf_dir), WORD_OVERLAP, QE_TASKS)
     summary = summarize(scored, True, by=["lang"])
-    return summary.select("lang", *(mean_text(F.col(f"mean_{t.label}")).alias(f"mean_{t.hyp.lower()}")
+    return summary.select("lang", "n_rows", *(mean_text(F.col(f"mean_{t.label}")).alias(f"mean_{t.hyp.lower()}")
                                     for t in QE_TASKS), rate_text(F.col("win_AB")).alias("win_ab"))
 
 
