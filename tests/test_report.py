@@ -7,8 +7,8 @@ from triptych.operators.lexical import WORD_DISTANCE, WORD_OVERLAP, batch_overla
 from triptych.operators.report import CALIBRATED, DISTANCE, JUDGE, lower_is_better_note, report_long
 from triptych.operators.scoring import score_pairs
 from triptych.operators.tasks import NINE_TASKS, expand_tasks
-from triptych.plans.evaluation import evaluate
-from triptych.sources.profiles import PROFILES
+from triptych.plans.evaluation import evaluate, evaluate_languages
+from triptych.sources.profiles import PROFILES, union_languages
 from triptych.sources.readers import read_reports, read_table
 from tests.test_scoring import random_triples
 
@@ -79,6 +79,16 @@ def test_written_output(spark, tmp_path):
     assert table.columns == results.columns and table.count() == 30
 
 
+def test_all_languages_in_one_job(spark):
+    frames = {language: random_triples(spark, 40, seed) for seed, language in enumerate(PROFILES)}
+    for scorer in (WORD_OVERLAP, batch_overlap()):
+        scored, reports = evaluate_languages(union_languages(frames), CALIBRATED, scorer)
+        assert scored.count() == 120
+        got = {r.language: json.loads(r.report) for r in reports.collect()}
+        assert got == {language: as_json(evaluate(df, CALIBRATED, language, WORD_OVERLAP))
+                       for language, df in frames.items()}
+
+
 @pytest.mark.parametrize("file_format", ["parquet", "csv", "json"])
 def test_written_report_keeps_nan(spark, tmp_path, file_format):
     evaluation = evaluate(random_triples(spark), JUDGE, "de", nan_below(WORD_OVERLAP, 3), model="m")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,3 +113,29 @@ def evaluate(triples: DataFrame, kind: ReportKind, language: str, scorer: Scorer
     profile = PROFILES[language]
     labels = profile.corrected_labels if corrected_labels else profile.labels
     return Evaluation(scored, kind, language, labels, details)
+
+
+def evaluate_languages(triples: DataFrame, kind: ReportKind, scorer: Scorer,
+                       languages: Sequence[str] = tuple(PROFILES), corrected_labels: bool = False,
+                       spread: int | None = None, whole_calls: bool = False,
+                       **details: str) -> tuple[DataFrame, DataFrame]:
+    """Score triples of several languages (column `language`) in one job.
+
+    Gives the scored triples and one report per language (language, report).
+    No model call mixes languages.
+    """
+    scored = score_triples(triples, scorer, kind.tasks, "language", spread)
+    if isinstance(scorer, BatchScorer):
+        scored = materialize(scored, "scored")
+        if whole_calls:
+            scored = fail_whole_calls(scored, scorer, kind.tasks, "language")
+    summary = materialize(summarize(scored, kind.higher_is_better, kind.nan, kind.tasks, kind.pairs,
+                                    by=["language"]), "summary")
+    reports = []
+    for language in languages:
+        profile = PROFILES[language]
+        labels = profile.corrected_labels if corrected_labels else profile.labels
+        own = summary.filter(F.col("language") == language)
+        reports.append(report_json(own, kind, labels, language, **details)
+                       .select(F.lit(language).alias("language"), "report"))
+    return scored, reduce(DataFrame.unionByName, reports)
