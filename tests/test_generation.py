@@ -72,6 +72,24 @@ def test_token_costs(spark):
                      "total": (1330, 2033, 0.2166)}
 
 
+def test_a_third_of_all_attempts_under_one_key(spark):
+    spread = spark.range(6000).select(
+        F.lit("german").alias("stage"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("idiom_id"),
+        (F.col("id") % 4 + 1).cast("int").alias("attempt"),
+        F.when(F.col("id") % 5 == 0, F.format_string('{"english_sentence": "s%05d"}', "id"))
+        .otherwise("none").alias("response"), F.lit(2).cast("long").alias("prompt_tokens"),
+        F.lit(3).cast("long").alias("completion_tokens")).repartition(6)
+    got = {r.idiom_id: r for r in first_valid(spread, ["idiom_id"], ["english_sentence"]).collect()}
+    assert (got[7].attempt, got[7].english_sentence) == (1, "s00000")
+    others = [i for i in range(6000) if i % 5 == 0 and i % 3 and i % 4 < 3]
+    assert set(got) == {7, *others}
+    made = {r.idiom_id: r for r in tokens_made(spread).collect()}
+    # id 7 stands on its own too, as attempt 4
+    assert made[7].attempts == 500 and made[7].prompt_tokens == 1000
+    plan = first_valid(spread, ["idiom_id"], ["english_sentence"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan
+
+
 def replay(spark, rows):
     return ReplayGenerator(spark.createDataFrame(rows, ATTEMPTS))
 

@@ -41,9 +41,9 @@ def _marked(text: Column) -> Column:
 
 def _whole(marked: Column, text: Column) -> Column:
     """The first object, if nothing but the marker follows it."""
-    one = ((F.size(marked) == 2) & F.map_contains_key(F.element_at(marked, 2), _END)
+    one = ((F.size(marked) == 2) & F.map_contains_key(F.get(marked, F.lit(1)), _END)
            & ~text.contains(_END))
-    return F.when(one, F.element_at(marked, 1))
+    return F.when(one, F.get(marked, F.lit(0)))
 
 
 def strict_object(text: Column) -> Column:
