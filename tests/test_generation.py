@@ -117,6 +117,17 @@ def test_no_further_round_when_all_is_settled(spark, tmp_path):
     prompts = spark.createDataFrame([(1, "p")], "idiom_id long, prompt string")
     run_stage(GERMAN, prompts, replay(spark, [("german", 1, 1, GOOD % 1, 1, 1)]), str(tmp_path))
     assert [p.name for p in (tmp_path / "german").iterdir()] == ["attempt=1"]
+    with pytest.raises(PySparkException):  # a store belongs to one run
+        run_stage(GERMAN, prompts, replay(spark, [("german", 1, 1, GOOD % 1, 1, 1)]), str(tmp_path))
+
+
+def test_incomplete_round_is_written_anew(spark, tmp_path):
+    prompts = spark.createDataFrame([(1, "p")], "idiom_id long, prompt string")
+    (tmp_path / "german" / "attempt=1").mkdir(parents=True)
+    (tmp_path / "german" / "attempt=1" / "part-0.parquet").write_bytes(b"half a fi")
+    result = run_stage(GERMAN, prompts, replay(spark, [("german", 1, 1, GOOD % 1, 1, 1)]), str(tmp_path),
+                       resume=True)
+    assert result.replies.first().english_sentence == "s1"
 
 
 def logged(folder, answer):

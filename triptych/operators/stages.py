@@ -125,8 +125,9 @@ def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str
     `prompts` has idiom_id, prompt and any columns to keep with them. Each
     round is written under `store` before the next one starts, and the next
     one reads what is left from it, so no paid call is made twice because of a
-    lost executor, and nothing has to be joined back. With `resume`, rounds
-    that are already complete there are taken as they are.
+    lost executor, and nothing has to be joined back. A store belongs to one
+    run. With `resume`, rounds that are already complete there are taken as
+    they are, and an incomplete one is written anew.
     """
     spark = prompts.sparkSession
     kept = [c for c in prompts.columns if c not in ("idiom_id", "prompt")]
@@ -143,7 +144,7 @@ def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str
             strip(F.col("response")).alias("response"), "prompt_tokens", "completion_tokens"),
             stage.required)
         if not (resume and is_complete(spark, path)):
-            made.write.mode("overwrite").parquet(path)
+            made.write.mode("overwrite" if resume else "error").parquet(path)
         rounds.append(spark.read.schema(made.schema).parquet(path))
         pending = rounds[-1].filter(F.col("reply").isNull()).select(*asked)
         if pending.isEmpty():
