@@ -33,14 +33,14 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def differences(spark, con, sf_dir: str, name: str) -> tuple[str, int]:
+def differences(spark, con, sf_dir: str, name: str, queries=QUERIES, sql=ORACLE_SQL) -> tuple[str, int]:
     """'' or what differs, and the row count."""
-    got = QUERIES[name](spark, sf_dir)
+    got = queries[name](spark, sf_dir)
     rows = [tuple(r) for r in got.collect()]
     got_frame = pd.DataFrame(rows, columns=got.columns, dtype=object)
-    if name not in ORACLE_SQL:
+    if name not in sql:
         return "no SQL", len(rows)
-    result = con.execute(ORACLE_SQL[name])
+    result = con.execute(sql[name])
     columns = [d[0] for d in result.description]
     want_frame = pd.DataFrame(result.fetchall(), columns=columns, dtype=object)
     if sorted(got.columns) != sorted(columns):
