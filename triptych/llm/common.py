@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # What separates words, and a word, in Java and Python regular expressions.
@@ -44,3 +44,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def one_row_each(docs: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """For each id and `text_hash` (xxhash64 of the text) in `chosen`, one such row of `docs`, with its columns."""
+    keys = ["__key", "__hash"]
+
+    def keyed(frame: DataFrame, text_hash: Column) -> DataFrame:
+        return frame.withColumns({"__key": F.coalesce(F.col(id_column).cast("string"), F.lit("")), "__hash": text_hash})
+
+    rows = keyed(docs, F.xxhash64(whole_text(text_column)))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__hash"))).filter("__n = 1")
+    return rows.join(keyed(chosen, F.col("text_hash")).select(*keys), keys, "left_semi").select(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triptych.llm.common import BLANK, whole_text
+from triptych.llm.common import BLANK, one_row_each, whole_text
 from triptych.sources.shared import materialize
 
 CHUNK_BYTES = 1 << 16
@@ -160,9 +160,6 @@ def keep_first(docs: DataFrame, judged: DataFrame, id_column: str = "doc_id",
                text_column: str = "text") -> DataFrame:
     """The rows of `docs` that stay, `judged` being the result of `exact_dedup` on them.
 
-    Repeated rows have one text, so the first by id and text hash stands for them.
+    Of repeated rows (one id, one text) any one is given.
     """
-    kept = judged.filter("kept").select(F.col(id_column).alias("__id"), F.col("text_hash").alias("__hash"))
-    rows = docs.withColumn("__h", F.xxhash64(whole_text(text_column)))
-    return rows.join(kept, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))).select(
-        *docs.columns)
+    return one_row_each(docs, judged.filter("kept"), id_column, text_column)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from triptych.llm import exact_dedup, mixing, packing, token_counts
+from triptych.llm import chunk_fingerprints, exact_dedup, mixing, packing, simhash_dedup, token_counts
 from triptych.llm.common import table
 
 
@@ -32,9 +31,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and the group that it is linked to."""
+    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", "fingerprint", "component_id")
+
+
+def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of every document and of its edited text."""
+    return chunk_fingerprints.chunk_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_exact_dedup, op6_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_exact_dedup, op6_packing, op7_simhash_dedup,
+                                  op8_chunk_fingerprints, op9_token_counts)}
