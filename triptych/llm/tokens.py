@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 # Distinct parts that a task remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
-# A part keeps the white space before it, or is without.
-WITH_BLANK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+# A part keeps the white space before it, or is without. Letters before a stop are a part too:
+# a byte-level tokenizer takes letters alone, so it has a boundary there.
+WITH_BLANK = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,:;!?])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 WITHOUT_BLANK = re.compile(r"[^ \t\n\r]+")
 # White space beyond those four may belong to the run that the next part begins with.
 ODD_BLANK = re.compile(r"[^\S \t\n\r]")
@@ -51,6 +53,19 @@ class WordCounts:
         return [sum(map(known.__getitem__, words)) for words in parts]
 
 
+class _Places(dict):
+    """Words by the order in which they are first asked for; `new` has those of late."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordIds:
     """Token ids, for a byte-level tokenizer whose words begin with their blank."""
 
@@ -60,32 +75,31 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.places = _Places()
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _learn(self) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.places.new, add_special_tokens=False)]
+        self.places.new.clear()
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), np.uint32, int(lengths.sum()))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [[text] if ODD_BLANK.search(text) else WITH_BLANK.findall(text) for text in texts]
-        if len(self.place) > self.cache_words:
+        if len(self.places) > self.cache_words:
             self._forget()
-        place = self.place
-        new = list({word for words in parts for word in words if word not in place})
-        if new:
-            self._learn(new)
-        return [self._gather(words) for words in parts]
-
-    def _gather(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        place = self.places.__getitem__
+        parts = [[text] if ODD_BLANK.search(text) else WITH_BLANK.findall(text) for text in texts]
+        at = [np.fromiter(map(place, words), np.int64, len(words)) for words in parts]
+        if self.places.new:
+            self._learn()
+        return [self._gather(words) for words in at]
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
         lengths = self.lengths[at]
         shift = self.starts[at] - (np.cumsum(lengths) - lengths)
         return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
