@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from triptych.llm import chunk_fingerprints, exact_dedup, mixing, packing, simhash_dedup, token_counts
-from triptych.llm.common import table
+from triptych.llm import (
+    chunk_fingerprints,
+    exact_dedup,
+    language_id,
+    mixing,
+    packing,
+    quality,
+    simhash_dedup,
+    token_counts,
+)
+from triptych.llm.common import remainder, table
 
 
 def _tokenizer(name: str) -> str:
@@ -26,6 +36,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of lengths that are powers of two."""
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
@@ -47,5 +65,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_exact_dedup, op6_packing, op7_simhash_dedup,
-                                  op8_chunk_fingerprints, op9_token_counts)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix, op3_exact_dedup, op4_language_id, op6_packing, op7_simhash_dedup, op8_chunk_fingerprints,
+    op9_token_counts, op10_quality)}
