@@ -32,14 +32,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once and read it back.
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write `df` once and read it back; `codec` is Parquet's, if not the session's.
 
     Rows that come from a paid or random model must not be computed again when
     an executor is lost or when the frame is used twice.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
