@@ -14,6 +14,7 @@ from triptych.llm import (
     packing,
     quality,
     simhash_dedup,
+    substring_dedup,
     token_counts,
 )
 from triptych.llm.common import remainder, table
@@ -31,6 +32,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without passages of 13 words that an earlier one has."""
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal documents stays."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
@@ -80,5 +86,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op3_exact_dedup, op4_language_id, op5_html_extract, op6_packing, op7_simhash_dedup,
-    op8_chunk_fingerprints, op9_token_counts, op10_quality)}
+    op1_mix, op2_substring_dedup, op3_exact_dedup, op4_language_id, op5_html_extract, op6_packing,
+    op7_simhash_dedup, op8_chunk_fingerprints, op9_token_counts, op10_quality)}
