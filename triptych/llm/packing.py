@@ -86,8 +86,10 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     # At most one row for each length: a dozen.
     lengths = counts.groupBy("length").agg(F.sum(n).alias("all")).select("length", F.coalesce(F.sum("all").over(
         Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
-    first = counts.select("length", "part", earlier.alias("earlier")).join(F.broadcast(lengths), "length").select(
-        "length", "part", (F.col("below") + F.col("earlier")).alias("first"))
+    # Written, so that Spark knows its size when it chooses how to join it with the pieces.
+    first = materialize(counts.select("length", "part", earlier.alias("earlier")).join(
+        F.broadcast(lengths), "length").select(
+        "length", "part", (F.col("below") + F.col("earlier")).alias("first")), "firsts")
     return pieces.join(first, ["length", "part"]).select(
         F.col("key").alias(id_column), "start", "length", "ids_crc32", "doc_tokens",
         (F.col("first") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
