@@ -1,5 +1,7 @@
+import json
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from triptych.operators.triples import (
     project_triples,
     scorer_frame,
 )
+from triptych.plans.evaluation import evaluate, evaluate_languages
+from triptych.sources.profiles import PROFILES, union_languages
 from triptych.sources.shared import materialize
 
 TRIPLES = "seg_id long, src string, cand_a string, cand_b string, cand_c string"
@@ -284,3 +288,100 @@ def test_scorer_without_a_shared_measure(spark):
 def test_kinds_sort_as_they_should():
     assert [(k.name, k.higher_is_better, k.nan) for k in (JUDGE, CALIBRATED, DISTANCE)] == [
         ("judge", True, "propagate"), ("calibrated", True, "propagate"), ("distance", False, "skip")]
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 8])
+@pytest.mark.filterwarnings("ignore:the first score")
+def test_failures_do_not_depend_on_the_layout(spark, partitions):
+    """The same 400 rows with one failing text and one missing text, however they lie."""
+    rows = [(i, "s", None if i == 9 else "bad" if i == 17 else "ok", "ok", "ok") for i in range(400)]
+    triples = spark.createDataFrame(rows, TRIPLES).repartition(partitions)
+    whole = evaluate(triples, JUDGE, "de", picky("bad", 50, None)).summary.first()
+    assert (whole.failed_Score_QE_A, whole.failed_Score_QE_B, whole.mean_Score_QE_A, whole.mean_Score_QE_B) == (400, 0, 0.0, 1.0)
+    assert whole.error_Score_QE_A == "ValueError: bad" and whole.win_AB == 0.0
+    by_row = evaluate(triples, JUDGE, "de", picky("bad", 50, None), whole_calls=False)
+    row = by_row.summary.first()
+    assert (row.failed_Score_QE_A, row.mean_Score_QE_A) == (1, 398 / 399)
+    values = {r.seg_id: r for r in by_row.scored.collect()}
+    assert values[17].Score_QE_A == 0.0 and values[9].Score_QE_A is None and not values[9].failed_Score_QE_A
+    assert values[9].Score_QE_B == 1.0
+
+
+def distances(word):
+    def build():
+        def score(sources, hypotheses, references):
+            if word in hypotheses:
+                raise ConnectionError("no " + word)
+            return [5.0] * len(hypotheses)
+        return score
+    return BatchScorer("distance", False, build)
+
+
+def test_a_failed_task_does_not_win_a_distance(spark):
+    rows = [(i, "s", "a", "b", "c" if i else "gone") for i in range(20)]
+    with pytest.warns(UserWarning, match="Score_QE_C failed and is left out: ConnectionError: no gone"):
+        run = evaluate(spark.createDataFrame(rows, TRIPLES), DISTANCE, "de", distances("gone"))
+    report = json.loads(run.report.first().report)
+    assert set(report["win_rates"]) == {"A_beats_B"} and not [k for k in report["averages"] if "_C" in k.replace("Ref_C", "")]
+    assert report["failed"] == {"Score_QE_C": 20, "Score_C_Ref_A": 20, "Score_C_Ref_B": 20}
+    assert set(report["errors"].values()) == {"ConnectionError: no gone"}
+    assert "Score_QE_C" not in run.results().columns
+    with pytest.raises(ValueError, match="must not win"):
+        BatchScorer("distance", False, distances("x").build, on_failure="zero")
+
+
+def test_calibrated_scorers_stop_and_judges_warn(spark):
+    triples = spark.createDataFrame([(1, "s", "bad", "b", "c")], TRIPLES)
+    with pytest.raises(Exception, match="bad"):
+        evaluate(triples, CALIBRATED, "de", picky("bad", on_failure=None))
+    with pytest.warns(UserWarning, match="the first score is 0"):
+        evaluate(triples, JUDGE, "de", picky("bad", on_failure=None))
+    with pytest.raises(ValueError, match="unique"):
+        evaluate(triples.union(triples), JUDGE, "de", picky("x", on_failure=None))
+
+
+def test_a_failed_language_loses_its_task_only(spark):
+    rows = [(i, "s", "a", "b", "gone" if i == 3 else "c") for i in range(5)]
+    good = spark.createDataFrame(rows[:3], TRIPLES)
+    triples = union_languages({"de": good, "ur-native": spark.createDataFrame(rows, TRIPLES)})
+    with pytest.warns(UserWarning, match="Score_QE_C of ur-native failed"):
+        _, reports = evaluate_languages(triples, DISTANCE, distances("gone"), ["de", "ur-native"])
+    found = {r.language: json.loads(r.report) for r in reports.collect()}
+    assert len(found["de"]["averages"]) == 9 and len(found["de"]["win_rates"]) == 3 and "failed" not in found["de"]
+    assert len(found["ur-native"]["averages"]) == 6 and set(found["ur-native"]["win_rates"]) == {"A_beats_B"}
+
+
+def test_calls_have_one_language_and_its_codes(spark):
+    def coded():
+        def score(sources, hypotheses, references, codes):
+            assert len(set(sources)) == 1 and sources[0].startswith(codes.target + "|")
+            return [len(codes.source)] * len(hypotheses)
+        return score
+
+    def framed():
+        def score(frame):
+            assert list(frame) == ["src", "mt", "ref", "lp", "seg_id", "system-name", "human_ratings"]
+            assert frame.lp.nunique() == 1 and set(frame["system-name"]) == {"sys"}
+            return [s * 10 + (r != "") for s, r in zip(frame.seg_id, frame.ref)]
+        return score
+    frames = {name: spark.createDataFrame([(i, p.code + "|", "a", "b", "c") for i in range(7)], TRIPLES)
+              for name, p in PROFILES.items()}
+    triples = union_languages(frames).repartition(2)
+    scored, _ = evaluate_languages(triples, JUDGE, BatchScorer("coded", True, coded, takes="codes", on_failure="fail"))
+    assert {r.Score_QE_A for r in scored.collect()} == {2.0} and scored.count() == 21
+    scored, _ = evaluate_languages(triples, CALIBRATED, BatchScorer("framed", True, framed, takes="frame"))
+    assert all(r.Score_QE_A == r.seg_id * 10 and r.Score_A_Ref_B == r.seg_id * 10 + 1 for r in scored.collect())
+    own = {"xx": replace(PROFILES["de"], language="xx", code="xx")}
+    alone = spark.createDataFrame([(1, "xx|", "a", "b", "c")], TRIPLES)
+    run = evaluate(alone, JUDGE, "xx", BatchScorer("coded", True, coded, takes="codes", on_failure="fail"), profiles=own)
+    assert run.scored.first().Score_QE_A == 2.0
+    with pytest.raises(ValueError, match="language codes"):
+        score_triples(alone, BatchScorer("coded", True, coded, takes="codes"))
+
+
+@pytest.mark.parametrize("rows", [[(1, "s", "a", "b", "c")] * 2, [(None, "s", "a", "b", "c")]], ids=["repeated", "missing"])
+def test_triple_keys_are_checked(spark, rows):
+    triples = spark.createDataFrame(rows, TRIPLES)
+    scores = spark.createDataFrame([(1, t.label, 1.0) for t in NINE_TASKS], "seg_id long, task string, score double")
+    with pytest.raises(ValueError, match="need a key each"):
+        attach_scores(triples, scores)

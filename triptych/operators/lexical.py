@@ -46,6 +46,6 @@ def _overlap_model() -> Model:
     return score
 
 
-def batch_overlap(on_failure: str = "zero") -> BatchScorer:
+def batch_overlap(on_failure: str | None = None) -> BatchScorer:
     """The same scorer as a model on batches."""
     return BatchScorer("word overlap", True, _overlap_model, on_failure=on_failure)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triptych.operators.scoring import error_column, failed_column
 from triptych.operators.stats import QE_PAIRS, Pair
 from triptych.operators.tasks import NINE_TASKS, QE_TASKS, Task
 from triptych.sources.profiles import Labels
@@ -18,7 +19,8 @@ class ReportKind:
     """What a kind of metric reports, and how it is named.
 
     The patterns take {hyp}, {ref} and {label} for averages and score columns,
-    {left} and {right} for win rates.
+    {left} and {right} for win rates. `on_failure` is what a failed call of a
+    batch scorer leaves, `first_zero_warns` whether a first score of 0 is a sign of failure.
     """
 
     name: str
@@ -32,7 +34,9 @@ class ReportKind:
     reference_column_name: str
     pairs: tuple[Pair, ...]
     pair_name: str
+    on_failure: str
     single_rate: bool = False
+    first_zero_warns: bool = False
 
     def average_key(self, task: Task, labels: Labels) -> str:
         pattern = self.average_name if task.reference_free else self.reference_average_name
@@ -51,17 +55,18 @@ JUDGE = ReportKind(
     "judge", True, "propagate", QE_TASKS, QE_TASKS,
     average_name="{hyp}_{label}", reference_average_name="",
     qe_column_name="Score_{hyp}_{label}", reference_column_name="",
-    pairs=QE_PAIRS[:1], pair_name="win_rate_{left}_vs_{right}", single_rate=True)
+    pairs=QE_PAIRS[:1], pair_name="win_rate_{left}_vs_{right}", on_failure="zero", single_rate=True,
+    first_zero_warns=True)
 CALIBRATED = ReportKind(
     "calibrated", True, "propagate", NINE_TASKS, QE_TASKS,
     average_name="QE_{hyp}_{label}", reference_average_name="",
     qe_column_name="Score_QE_{hyp}_{label}", reference_column_name="Score_{hyp}_ref_{ref}",
-    pairs=QE_PAIRS, pair_name="{left}_vs_{right}")
+    pairs=QE_PAIRS, pair_name="{left}_vs_{right}", on_failure="fail")
 DISTANCE = ReportKind(
     "distance", False, "skip", NINE_TASKS, NINE_TASKS,
     average_name="Score_QE_{hyp}", reference_average_name="Score_{hyp}_Ref_{ref}",
     qe_column_name="Score_QE_{hyp}", reference_column_name="Score_{hyp}_Ref_{ref}",
-    pairs=QE_PAIRS, pair_name="{left}_beats_{right}")
+    pairs=QE_PAIRS, pair_name="{left}_beats_{right}", on_failure="omit")
 
 KINDS = (JUDGE, CALIBRATED, DISTANCE)
 
@@ -82,12 +87,14 @@ def _entries(summary: DataFrame, kind: ReportKind, labels: Labels) -> tuple[
 
 def report_long(summary: DataFrame, kind: ReportKind, labels: Labels,
                 by: Sequence[str] = ()) -> DataFrame:
-    """A summary as rows: by, section, key, value."""
+    """A summary as rows: by, section, key, value; section `failed` counts rows of failed calls."""
     means, rates = _entries(summary, kind, labels)
+    failed = [(t.label, F.col(failed_column(t.label))) for t in kind.tasks
+              if failed_column(t.label) in summary.columns]
     rows = F.array(*(
         F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"),
                  value.cast("double").alias("value"))
-        for section, entries in (("averages", means), ("win_rates", rates))
+        for section, entries in (("averages", means), ("win_rates", rates), ("failed", failed))
         for key, value in entries))
     return summary.select(*by, F.explode(rows).alias("_row")).select(*by, "_row.*")
 
@@ -96,7 +103,8 @@ def report_json(summary: DataFrame, kind: ReportKind, labels: Labels, language:
                 **details: str) -> DataFrame:
     """One indented JSON text per summary row.
 
-    `details` are further texts at the top, such as model, method or note.
+    `details` are further texts at the top, such as model, method or note. If
+    calls failed, `failed` has the number of their rows and `errors` one error, per task.
     """
     means, rates = _entries(summary, kind, labels)
 
@@ -114,4 +122,10 @@ def report_json(summary: DataFrame, kind: ReportKind, labels: Labels, language:
         parts += [averages, as_map(rates).alias("win_rates")]
     else:
         parts += [as_map(rates).alias("win_rates"), averages]
+    for name, column in (("failed", failed_column), ("errors", error_column)):
+        found = [(F.lit(t.label), F.col(column(t.label))) for t in kind.tasks if column(t.label) in summary.columns]
+        if found:
+            bad = F.map_filter(F.create_map(*(x for pair in found for x in pair)),
+                               lambda _, v: v.isNotNull() & (v.cast("string") != "0"))
+            parts.append(F.when(F.size(bad) > 0, bad).alias(name))
     return summary.select(F.to_json(F.struct(*parts), {"pretty": "true"}).alias("report"))

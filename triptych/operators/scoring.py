@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -13,12 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triptych.functions.text import exact
-from triptych.operators.joins import broadcast_if_small
 from triptych.operators.tasks import CANDIDATE, NINE_TASKS, Task
 from triptych.sources.shared import materialize
 
 Texts = Sequence[str]
-Model = Callable[[Texts, Texts, Texts | None], Sequence[float]]
+Model = Callable[..., Sequence[float]]
+INPUTS = ("texts", "codes", "frame")
+POLICIES = ("zero", "null", "omit", "fail")
+
+
+class Codes(NamedTuple):
+    """What a scorer calls the languages of a call."""
+
+    source: str
+    target: str
 
 
 @dataclass(frozen=True)
@@ -42,21 +50,35 @@ class ColumnScorer:
 class BatchScorer:
     """A scorer that runs a model on lists of texts.
 
-    `build` makes the model, once per Spark task. The model gets sources,
-    hypotheses and references (None when reference-free) and gives one number
-    per text, NaN or None where it has none. `on_failure` says what a failed call leaves for its texts:
-    `zero`, `null`, or `fail` to stop the job.
+    `build` makes the model, once per Spark task. `takes` says what a call gets:
+
+    * `texts`: sources, hypotheses and references (None when reference-free),
+    * `codes`: the same and the Codes of source and target language,
+    * `frame`: one pandas frame with the columns of `scorer_frame`.
+
+    It gives one number per text, NaN or None where it has none. No call mixes
+    languages. A row with a missing text is never sent and has no score.
+
+    `on_failure` says what a failed call leaves: `zero` scores (not for scores
+    of which the lowest is best), `null` scores, `omit` to leave the task out
+    of the report as well, or `fail` to stop the job. Without it the policy is that of the
+    report, or `null`.
     """
 
     name: str
     higher_is_better: bool
     build: Callable[[], Model]
     rows_per_call: int = 256
-    on_failure: str = "zero"
+    on_failure: str | None = None
+    takes: str = "texts"
 
     def __post_init__(self) -> None:
-        if self.on_failure not in ("zero", "null", "fail"):
-            raise ValueError(f"on_failure is 'zero', 'null' or 'fail', not {self.on_failure!r}")
+        if self.on_failure not in (None, *POLICIES):
+            raise ValueError(f"on_failure is one of {POLICIES}, not {self.on_failure!r}")
+        if self.on_failure == "zero" and not self.higher_is_better:
+            raise ValueError("zero is the best score there is: a failure must not win")
+        if self.takes not in INPUTS:
+            raise ValueError(f"takes is one of {INPUTS}, not {self.takes!r}")
 
 
 Scorer = ColumnScorer | BatchScorer
@@ -66,24 +88,34 @@ def failed_column(label: str) -> str:
     return f"failed_{label}"
 
 
+def error_column(label: str) -> str:
+    return f"error_{label}"
+
+
 def _against(task: Task) -> str:
     return CANDIDATE[task.ref] if task.ref else "src"
 
 
 def score_triples(triples: DataFrame, scorer: Scorer, tasks: Sequence[Task] = NINE_TASKS,
-                  call_group: str | None = None, spread: int | None = None) -> DataFrame:
+                  call_group: str | None = None, spread: int | None = None,
+                  codes: tuple[Column, Column] | None = None, by_row: bool = False) -> DataFrame:
     """Add one score column per task, in one pass and without a shuffle.
 
-    A batch scorer also adds a `failed_` flag per task; its result has to be
-    materialized before it is used twice. One model call never mixes two values
-    of `call_group`. `spread` deals the rows out over that many partitions
-    first: for a slow model and input that lies in few files.
+    A batch scorer also adds a `failed_` flag and an `error_` text per task; its
+    result has to be materialized before it is used twice. One model call never
+    mixes two values of `call_group` or of `codes`, the columns of source and
+    target code. All rows of a failed call are marked; with `by_row` the call is
+    repeated text by text, so that only those are which fail alone. `spread`
+    deals the rows out over that many partitions first: for a slow model and
+    input that lies in few files.
     """
     if spread:
         triples = triples.repartition(spread)
     if isinstance(scorer, ColumnScorer):
         return _score_by_columns(triples, scorer, tasks)
-    return _score_by_batches(triples, scorer, tasks, call_group)
+    if scorer.takes != "texts" and codes is None:
+        raise ValueError(f"{scorer.name} takes language codes")
+    return _score_by_batches(triples, scorer, tasks, call_group, codes, by_row)
 
 
 def _score_by_columns(triples: DataFrame, scorer: ColumnScorer, tasks: Sequence[Task]) -> DataFrame:
@@ -101,68 +133,103 @@ def _score_by_columns(triples: DataFrame, scorer: ColumnScorer, tasks: Sequence[
     return frame.select(*triples.columns, *scores)
 
 
-def _chunks(groups: pd.Series, rows_per_call: int) -> Iterator[np.ndarray]:
-    """Positions of the rows of each model call."""
-    for positions in pd.Series(np.arange(len(groups))).groupby(groups.to_numpy(), dropna=False):
-        rows = positions[1].to_numpy()
-        for start in range(0, len(rows), rows_per_call):
-            yield rows[start:start + rows_per_call]
-
-
-_SCORED, _FAILED, _NAN = 0, 1, 2
-
-
-def _call_model(model: Model, scorer: BatchScorer, sources: list[str], hypotheses: list[str],
-                references: list[str] | None) -> tuple[np.ndarray, int]:
-    """The scores of one call and whether it failed; a failed one has the fallback score."""
-    try:
-        scores = np.array([np.nan if v is None else float(v)
-                           for v in model(sources, hypotheses, references)])
-        if len(scores) != len(hypotheses):
-            raise ValueError(f"{len(scores)} scores for {len(hypotheses)} texts")
-        return scores, _SCORED
-    except Exception:
-        if scorer.on_failure == "fail":
-            raise
-        return np.full(len(hypotheses), 0.0), _FAILED
+def _calls(keys: pd.DataFrame, sent: np.ndarray, rows_per_call: int) -> Iterator[np.ndarray]:
+    """Positions of the rows of each model call: rows that are sent, with the same keys."""
+    rows = np.flatnonzero(sent)
+    if not len(rows):
+        return
+    for _, own in keys.iloc[rows].groupby(list(keys.columns), dropna=False, sort=False).indices.items():
+        for start in range(0, len(own), rows_per_call):
+            yield rows[own[start:start + rows_per_call]]
+
+
+_SCORED, _FAILED, _NAN, _UNSENT = 0, 1, 2, 3
+
+
+class _Caller:
+    """Calls a model on some rows of a batch for one task."""
+
+    def __init__(self, scorer: BatchScorer, text: dict[str, np.ndarray], keys: pd.DataFrame,
+                 segments: np.ndarray, by_row: bool):
+        self.scorer, self.text, self.keys, self.segments, self.by_row = scorer, text, keys, segments, by_row
+        self.model = scorer.build()
+
+    def arguments(self, task: Task, rows: np.ndarray) -> list[Any]:
+        sources, hypotheses = (list(self.text[c][rows]) for c in ("src", CANDIDATE[task.hyp]))
+        references = list(self.text[CANDIDATE[task.ref]][rows]) if task.ref else None
+        if self.scorer.takes == "texts":
+            return [sources, hypotheses, references]
+        codes = Codes(*(self.keys[c].iloc[rows[0]] for c in ("source", "target")))
+        if self.scorer.takes == "codes":
+            return [sources, hypotheses, references, codes]
+        return [pd.DataFrame({
+            "src": sources, "mt": hypotheses, "ref": references or [""] * len(rows),
+            "lp": "-".join(codes), "seg_id": self.segments[rows], "system-name": "sys", "human_ratings": 0.0})]
+
+    def __call__(self, task: Task, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, str | None]]:
+        """Rows, their scores, and the error if there was one."""
+        try:
+            scores = np.array([np.nan if v is None else float(v) for v in self.model(*self.arguments(task, rows))])
+            if len(scores) != len(rows):
+                raise ValueError(f"{len(scores)} scores for {len(rows)} texts")
+            yield rows, scores, None
+        except Exception as error:
+            if self.scorer.on_failure == "fail":
+                raise
+            if self.by_row and len(rows) > 1:
+                for row in rows:
+                    yield from self(task, np.array([row]))
+            else:
+                yield rows, np.zeros(len(rows)), f"{type(error).__name__}: {error}"
 
 
 def _score_by_batches(triples: DataFrame, scorer: BatchScorer, tasks: Sequence[Task],
-                      call_group: str | None) -> DataFrame:
+                      call_group: str | None, codes: tuple[Column, Column] | None, by_row: bool) -> DataFrame:
     texts = sorted({"src"} | {CANDIDATE[t.hyp] for t in tasks} | {_against(t) for t in tasks})
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        model = scorer.build()
-        for groups, *columns in batches:
+        call = None
+        for group, source, target, segments, *columns in batches:
             text = dict(zip(texts, (c.to_numpy() for c in columns), strict=True))
-            calls = list(_chunks(groups, scorer.rows_per_call))
+            keys = pd.DataFrame({"group": group, "source": source, "target": target})
+            if call is None:
+                call = _Caller(scorer, text, keys, segments.to_numpy(), by_row)
+            call.text, call.keys, call.segments = text, keys, segments.to_numpy()
             out: dict[str, Any] = {}
             for task in tasks:
-                scores = np.zeros(len(groups))
-                status = np.zeros(len(groups), dtype=np.int8)
-                for rows in calls:
-                    scores[rows], status[rows] = _call_model(
-                        model, scorer, list(text["src"][rows]), list(text[CANDIDATE[task.hyp]][rows]),
-                        list(text[CANDIDATE[task.ref]][rows]) if task.ref else None)
+                used = {"src", CANDIDATE[task.hyp], _against(task)}
+                sent = np.logical_and.reduce([~pd.isna(text[c]) for c in used])
+                scores = np.zeros(len(keys))
+                status = np.where(sent, _SCORED, _UNSENT).astype(np.int8)
+                errors = np.full(len(keys), None, dtype=object)
+                for rows in _calls(keys, sent, scorer.rows_per_call):
+                    for some, values, error in call(task, rows):
+                        scores[some], errors[some] = values, error
+                        status[some] = _SCORED if error is None else _FAILED
                 status[np.isnan(scores)] = _NAN
-                out[task.label], out[failed_column(task.label)] = scores, status
+                out |= {task.label: scores, failed_column(task.label): status, error_column(task.label): errors}
             yield pd.DataFrame(out)
 
     # The texts go to Python once for all tasks; the other columns stay in the JVM.
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]],
                            "return": Iterator[pd.DataFrame]}
-    schema = ", ".join(f"`{t.label}` double, `{failed_column(t.label)}` byte" for t in tasks)
+    schema = ", ".join(f"`{t.label}` double, `{failed_column(t.label)}` byte, `{error_column(t.label)}` string"
+                       for t in tasks)
     scored = F.pandas_udf(run, schema).asNondeterministic()
     group = F.col(call_group) if call_group else F.lit(0)
-    frame = triples.withColumn("_scores", scored(group, *(F.col(c) for c in texts)))
+    segment = F.col("seg_id") if "seg_id" in triples.columns else F.lit(0)
+    source, target = codes or (F.lit(""), F.lit(""))
+    frame = triples.withColumn("_scores", scored(group, source, target, segment, *(F.col(c) for c in texts)))
     # NaN would arrive as NULL, so it comes as a status.
-    fallback = F.lit(0.0 if scorer.on_failure == "zero" else None).cast("double")
+    missing = F.lit(None).cast("double")
+    fallback = F.lit(0.0) if scorer.on_failure == "zero" else missing
     columns = []
     for task in tasks:
-        score, status = F.col(f"_scores.{task.label}"), F.col(f"_scores.{failed_column(task.label)}")
+        score, status, error = (F.col(f"_scores.{c}") for c in (
+            task.label, failed_column(task.label), error_column(task.label)))
         columns += [F.when(status == _NAN, F.lit(float("nan"))).when(status == _FAILED, fallback)
-                    .otherwise(score).alias(task.label),
-                    (status == _FAILED).alias(failed_column(task.label))]
+                    .when(status == _UNSENT, missing).otherwise(score).alias(task.label),
+                    (status == _FAILED).alias(failed_column(task.label)), error.alias(error_column(task.label))]
     return frame.select(*triples.columns, *columns)
 
 
@@ -172,7 +239,8 @@ def fail_whole_calls(scored: DataFrame, scorer: BatchScorer, tasks: Sequence[Tas
 
     This is what happens when all rows, or all of a group, are scored in a
     single call, however many batches it was in here. `scored` must be
-    materialized. Groups are languages or the like: few, but this is checked.
+    materialized. Groups are languages or the like; those with a failed call are written
+    down, so that Spark knows their size when it joins them.
     """
     labels = [t.label for t in tasks]
     flags = [F.coalesce(F.max(failed_column(x)), F.lit(False)).alias(f"_any_{x}") for x in labels]
@@ -182,8 +250,7 @@ def fail_whole_calls(scored: DataFrame, scorer: BatchScorer, tasks: Sequence[Tas
     else:
         voided = scored.groupBy(call_group).agg(*flags).filter(
             F.array_contains(F.array(*(F.col(f"_any_{x}") for x in labels)), True))
-        voided = broadcast_if_small(materialize(voided, "voided"))
-        joined = scored.join(voided, call_group, "left")
+        joined = scored.join(materialize(voided, "voided"), call_group, "left")
         void = {x: F.coalesce(f"_any_{x}", F.lit(False)) for x in labels}
     fallback = F.lit(0.0 if scorer.on_failure == "zero" else None).cast("double")
     changed = {x: F.when(void[x], fallback).otherwise(F.col(x)) for x in labels}
@@ -214,23 +281,32 @@ def attach_scores(triples: DataFrame, scores: DataFrame, tasks: Sequence[Task] =
     """Join long scores to their triples, one column per task.
 
     A task counts only if it has exactly one score for every triple and none
-    besides; the column of any other task is left out with a warning. This is
-    checked on keys and counts, before the texts are joined.
+    besides; the column of any other task is left out with a warning. A triple
+    key that is missing or repeated stops the job. All this is checked on keys
+    and counts, in one grouping, before the texts are joined.
     """
     def counter(task: Task) -> str:
         return f"_n_{task.label}"
 
-    per_key = materialize(scores.groupBy(*keys).agg(
-        *(F.max(F.when(F.col("task") == t.label, F.col(value))).alias(t.label) for t in tasks),
-        *(F.count_if(F.col("task") == t.label).alias(counter(t)) for t in tasks)), "pivoted")
-    counts = (triples.select(*keys, F.lit(True).alias("_present"))
-              .join(per_key.select(*keys, *(counter(t) for t in tasks)), list(keys), "full"))
-    present = F.coalesce("_present", F.lit(False))
-    found = counts.agg(
-        F.count_if(present).alias("expected"),
+    rows = triples.select(*keys, F.lit(1).alias("_triple")).unionByName(
+        scores.select(*keys, F.col("task").alias("_task"), F.col(value).alias("_value")), allowMissingColumns=True)
+    per_key = materialize(rows.groupBy(*keys).agg(
+        F.count("_triple").alias("_triples"),
+        *(F.max(F.when(F.col("_task") == t.label, F.col("_value"))).alias(t.label) for t in tasks),
+        *(F.count_if(F.col("_task") == t.label).alias(counter(t)) for t in tasks)), "pivoted")
+    one = F.col("_triples") == 1
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    found = per_key.agg(
+        F.count_if(F.col("_triples") > 1).alias("repeated"),
+        F.count_if((F.col("_triples") > 0) & no_key).alias("nameless"),
+        F.count_if(one).alias("expected"),
         *(F.coalesce(F.sum(counter(t)), F.lit(0)).alias(f"rows_{t.label}") for t in tasks),
-        *(F.count_if(present & (F.col(counter(t)) == 1)).alias(f"matched_{t.label}")
-          for t in tasks)).first()
+        *(F.count_if(one & (F.col(counter(t)) == 1)).alias(f"matched_{t.label}") for t in tasks)).first()
+    if found["repeated"] or found["nameless"]:
+        raise ValueError(f"triples need a key each: {found['repeated']} keys are repeated, "
+                         f"{'some are' if found['nameless'] else 'none is'} missing")
     complete = []
     for task in tasks:
         if found["expected"] == found[f"rows_{task.label}"] == found[f"matched_{task.label}"]:
@@ -238,5 +314,5 @@ def attach_scores(triples: DataFrame, scores: DataFrame, tasks: Sequence[Task] =
         else:
             warnings.warn(f"{found[f'rows_{task.label}']} scores of {task.label} for "
                           f"{found['expected']} triples: left out", stacklevel=2)
-    return (triples.join(per_key.select(*keys, *complete), list(keys), "left")
+    return (triples.join(per_key.filter(one).select(*keys, *complete), list(keys), "left")
             .select(*triples.columns, *complete))

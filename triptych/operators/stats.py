@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triptych.operators.scoring import failed_column
+from triptych.operators.scoring import error_column, failed_column
 from triptych.operators.tasks import QE_TASKS, Task
 
 
@@ -47,8 +47,9 @@ def mean(score: Column, nan: str) -> Column:
 def summarize(scored: DataFrame, higher_is_better: bool, nan: str = "propagate",
               tasks: Sequence[Task] = QE_TASKS, pairs: Sequence[Pair] = QE_PAIRS,
               by: Sequence[str] = ()) -> DataFrame:
-    """Per group of `by`: n_rows, mean_<task>, win_<pair>, failed_<task>.
+    """Per group of `by`: n_rows, mean_<task>, win_<pair>, failed_<task>, error_<task>.
 
+    The last two are the number of rows of failed calls and one of their errors.
     Tasks without a score column, and pairs with such a task, are left out.
     All measures combine before the shuffle, so a large group does no harm.
     """
@@ -60,6 +61,8 @@ def summarize(scored: DataFrame, higher_is_better: bool, nan: str = "propagate",
                  for p in pairs if {p.left, p.right} <= have]
     measures += [F.count_if(failed_column(t.label)).alias(failed_column(t.label))
                  for t in tasks if failed_column(t.label) in have]
+    measures += [F.min(error_column(t.label)).alias(error_column(t.label))
+                 for t in tasks if error_column(t.label) in have]
     return scored.groupBy(*by).agg(*measures)
 
 
@@ -82,7 +85,7 @@ def _as_rows(summary: DataFrame, by: Sequence[str], prefix: str, name: str, valu
     return named.unpivot(list(by), [c.removeprefix(prefix) for c in columns], name, value)
 
 
-def first_score_is_zero(scored: DataFrame, label: str = "Score_QE_A",
-                        key: str = "seg_id") -> DataFrame:
-    """One row: whether the first segment has score 0, a sign of a failed run."""
-    return scored.agg((F.min_by(label, key) == 0.0).alias("first_score_is_zero"))
+def first_score_is_zero(scored: DataFrame, label: str = "Score_QE_A", key: str = "seg_id",
+                        by: Sequence[str] = ()) -> DataFrame:
+    """Per group of `by`: whether the first segment has score 0, a sign of a failed run."""
+    return scored.groupBy(*by).agg((F.min_by(label, key) == 0.0).alias("first_score_is_zero"))

@@ -121,9 +121,45 @@ ORACLE_SQL["scorer_failure_policy"] = (
                 f"AS Score_QE_{c.upper()}, bad_{c} AS failed_Score_QE_{c.upper()}" for c in "abc")
     + " FROM t JOIN failed ON t.source = failed.source")
 
-# The replies of one language are lost, so this task is left out.
+_BAD = f"WITH t AS ({TRI}), bad AS (SELECT count(*) AS n, " + ", ".join(
+    f"bool_or(NOT contains(cand_{c}, ' ')) AS bad_{c}" for c in "abc") + " FROM t), "
+_JUDGED = _BAD + "s AS (SELECT n, bad_a, bad_b, bad_c, " + ", ".join(
+    f"CASE WHEN bad_{c} THEN 0.0 ELSE {_overlap('cand_' + c, 'src')} END AS Score_QE_{c.upper()}"
+    for c in "abc") + " FROM t, bad) "
+ORACLE_SQL["judge_with_failed_call"] = _JUDGED + " UNION ALL ".join(
+    [f"SELECT 'averages' AS section, '{c}_{name}' AS key, avg(Score_QE_{c}) AS value FROM s"
+     for c, name in (("A", "Figurative"), ("B", "Literal"), ("C", "Incorrect"))]
+    + [f"SELECT 'win_rates' AS section, 'win_rate_A_vs_B' AS key, {_wins('Score_QE_A', 'Score_QE_B', '>')} AS value FROM s"]
+    + [f"SELECT 'failed' AS section, 'Score_QE_{c.upper()}' AS key, "
+       f"CASE WHEN bad_{c} THEN CAST(n AS DOUBLE) ELSE 0 END AS value FROM bad" for c in "abc"])
+ORACLE_SQL["distance_with_failed_task"] = _BAD + f"s AS ({_scored(NINE, _distance, keep='seg_id')}) " + " UNION ALL ".join(
+    [f"SELECT 'averages' AS section, '{label}' AS key, avg({label}) AS value FROM s, bad "
+     f"WHERE NOT bad_{hyp[-1]} HAVING count(*) > 0" for label, hyp, _ in NINE]
+    + [f"SELECT 'win_rates' AS section, '{a}_beats_{b}' AS key, "
+       f"{_wins('Score_QE_' + a, 'Score_QE_' + b, '<')} AS value FROM s, bad "
+       f"WHERE NOT bad_{a.lower()} AND NOT bad_{b.lower()} HAVING count(*) > 0" for a, b in ("AB", "AC", "BC")]
+    + [f"SELECT 'failed' AS section, '{label}' AS key, "
+       f"CASE WHEN bad_{hyp[-1]} THEN CAST(n AS DOUBLE) ELSE 0 END AS value FROM bad" for label, hyp, _ in NINE])
+
+# The code is what the judge calls the language.
+ORACLE_SQL["language_codes_at_scorer"] = " UNION ALL ".join(
+    f"SELECT '{language}' AS language, seg_id, "
+    + ", ".join(f"CAST(length(cand_{c}) % 7 + {10 * len(code) + 1} AS DOUBLE) AS Score_QE_{c.upper()}" for c in "abc")
+    + f" FROM ({TRI}) WHERE {COMPLETE}"
+    for language, code in (("de", "de"), ("ur-native", "ur"), ("ur-roman", "ur_roman")))
+
+_NAMES = {"de": ("Figurative", "Literal", "Incorrect"),
+          "ur-native": ("Native Idiomatic", "Native Descriptive", "Native Literal"),
+          "ur-roman": ("Roman Idiomatic", "Roman Descriptive", "Roman Literal")}
+ORACLE_SQL["language_reports"] = f"WITH s AS ({_scored(QE)} WHERE {COMPLETE}) " + " UNION ALL ".join(
+    [f"SELECT '{language}' AS language, 'QE_{c}_{name}' AS key, avg(Score_QE_{c}) AS value FROM s"
+     for language, names in _NAMES.items() for c, name in zip("ABC", names)]
+    + [f"SELECT '{language}' AS language, '{a}_vs_{b}' AS key, {_wins('Score_QE_' + a, 'Score_QE_' + b, '>')} AS value FROM s"
+       for language in _NAMES for a, b in ("AB", "AC", "BC")])
+
+# The replies of one language are lost and one reply is there twice, so these tasks are left out.
 ORACLE_SQL["request_count_guard"] = _scored(
-    [t for t in NINE if t[0] != "Score_A_Ref_C"], keep="seg_id")
+    [t for t in NINE if t[0] not in ("Score_A_Ref_C", "Score_B_Ref_A")], keep="seg_id")
 
 ORACLE_SQL["csv_round_trip_clean"] = """
 SELECT doc_id, text, CASE lang WHEN 'de' THEN '"' || text || '"' WHEN 'fr' THEN NULL

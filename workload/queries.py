@@ -30,9 +30,11 @@ from triptych.operators.ordinal import with_ordinal
 from triptych.operators.report import CALIBRATED, DISTANCE, JUDGE, report_long
 from triptych.operators.scoring import (
     BatchScorer,
+    Codes,
     Model,
     attach_scores,
     fail_whole_calls,
+    failed_column,
     long_scores,
     score_pairs,
     score_triples,
@@ -51,7 +53,7 @@ from triptych.operators.stats import averages, first_score_is_zero, summarize, w
 from triptych.operators.tasks import NINE_TASKS, QE_TASKS, expand_tasks
 from triptych.operators.triples import drop_incomplete_triples, scorer_frame
 from triptych.plans.creation import create_dataset
-from triptych.plans.evaluation import evaluate
+from triptych.plans.evaluation import evaluate, evaluate_languages
 from triptych.sources.profiles import PROFILES, load_languages, load_triples, union_languages
 from triptych.sources.readers import (
     read_base,
@@ -190,7 +192,62 @@ def scorer_failure_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     scorer = BatchScorer("picky overlap", True, _picky_model, on_failure="zero")
     scored = score_triples(document_triples(spark, sf_dir), scorer, QE_TASKS, call_group="source")
     scored = materialize(scored.drop("src", "cand_a", "cand_b", "cand_c"), "picky")
-    return fail_whole_calls(scored, scorer, QE_TASKS, "source").drop("lang")
+    return fail_whole_calls(scored, scorer, QE_TASKS, "source").select(
+        "seg_id", "source", *(c for t in QE_TASKS for c in (t.label, failed_column(t.label))))
+
+
+@query
+def judge_with_failed_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A failed call gives its whole task zeros, and is counted."""
+    run = evaluate(document_triples(spark, sf_dir), JUDGE, "de", BatchScorer("picky overlap", True, _picky_model))
+    return report_long(run.summary, JUDGE, PROFILES["de"].labels)
+
+
+def _picky_distance() -> Model:
+    inner = _picky_model()
+
+    def score(*texts: Sequence[str] | None) -> Sequence[float]:
+        return [100 - x for x in inner(*texts)]
+    return score
+
+
+@query
+def distance_with_failed_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A failed task has neither an average nor a win, however low a zero would be."""
+    run = evaluate(document_triples(spark, sf_dir), DISTANCE, "de",
+                   BatchScorer("picky distance", False, _picky_distance))
+    return report_long(run.summary, DISTANCE, PROFILES["de"].labels)
+
+
+def _coded_model() -> Model:
+    def score(sources: Sequence[str], hypotheses: Sequence[str], references: Sequence[str] | None,
+              codes: Codes) -> Sequence[float]:
+        return [float(len(h) % 7 + 10 * len(codes.target) + (codes.source == "en")) for h in hypotheses]
+    return score
+
+
+def _turned_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete triples as those of three languages."""
+    triples = drop_incomplete_triples(document_triples(spark, sf_dir)).drop("lang", "source")
+    return union_languages(dict.fromkeys(PROFILES, triples))
+
+
+@query
+def language_codes_at_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three languages in one job, for a scorer whose scores depend on the code of its call."""
+    scorer = BatchScorer("coded", True, _coded_model, takes="codes")
+    scored, _ = evaluate_languages(_turned_languages(spark, sf_dir), JUDGE, scorer)
+    return scored.select("language", "seg_id", *(t.label for t in QE_TASKS))
+
+
+@query
+def language_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of three languages that are scored in one job, as rows."""
+    _, reports = evaluate_languages(_turned_languages(spark, sf_dir), CALIBRATED, WORD_OVERLAP)
+    parsed = F.from_json("report", "averages map<string,double>, win_rates map<string,double>")
+    entries = F.concat(F.map_entries(parsed["averages"]), F.map_entries(parsed["win_rates"]))
+    return reports.select("language", F.explode(entries).alias("_entry")).select(
+        "language", "_entry.key", "_entry.value")
 
 
 def _outside_scorer(spark: SparkSession, requests: str) -> DataFrame:
@@ -215,11 +272,12 @@ def request_reply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def request_count_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task lacks the replies for one language."""
+    """One task lacks the replies for one language, another has one score too many."""
     triples = materialize(document_triples(spark, sf_dir), "triples")
     pairs = expand_tasks(triples, keys=["seg_id", "lang"])
     lost = (F.col("task") == "Score_A_Ref_C") & (F.col("lang") == "fr")
     scores = score_pairs(pairs, WORD_OVERLAP).filter(~lost).select("seg_id", "task", "score")
+    scores = scores.unionByName(scores.filter("task = 'Score_B_Ref_A' AND seg_id = 1"))
     return attach_scores(triples, scores).drop("src", "cand_a", "cand_b", "cand_c", "lang", "source")
 
 
