@@ -1,6 +1,7 @@
 import csv
 import json
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,12 +10,17 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from triptych.operators.cleaning import clean_base
-from triptych.operators.lexical import WORD_OVERLAP
+from triptych.operators.lexical import WORD_OVERLAP, batch_overlap
+from triptych.operators.ordinal import with_input_ordinal
+from triptych.operators.report import JUDGE
 from triptych.operators.scoring import score_triples
 from triptych.operators.stats import win_rates
 from triptych.operators.tasks import NINE_TASKS, QE_TASKS
+from triptych.plans.evaluation import evaluate
 from triptych.sources.profiles import load_languages, load_triples, union_languages
 from triptych.sources.readers import (
+    BLOCK_COLUMN,
+    FILE_COLUMN,
     INPUT_ORDER,
     read_base,
     read_curated,
@@ -28,6 +34,7 @@ from triptych.sources.writers import output_path, request_rows, write_requests,
 
 def put(folder, name, text):
     path = folder / name
+    path.parent.mkdir(exist_ok=True)
     path.write_bytes(text.encode("utf-8"))
     return str(path)
 
@@ -200,3 +207,84 @@ def test_shared_folder(spark, tmp_path):
     copy = materialize(spark.range(4).select(F.col("id").alias("odd (name)")), "y")
     assert copy.columns == ["odd (name)"] and copy.count() == 4
     assert output_path("/out/", "distance", "german") == "/out/distance/german"
+
+
+def test_files_with_another_header_stop_the_job(spark, tmp_path):
+    put(tmp_path, "t/a.csv", "k,x,y\n1,2,3\n")
+    put(tmp_path, "t/b.csv", "k,y,x\n1,2,3\n")
+    with pytest.raises(Exception, match="(?s)header|CSV"):
+        read_table(spark, str(tmp_path / "t")).collect()
+    put(tmp_path, "u/a.csv", "k,x,y\n1,2,3\n")
+    put(tmp_path, "u/b.csv", "k,x,y\n4,5,\n")
+    assert sorted(tuple(r) for r in read_table(spark, str(tmp_path / "u")).collect()) == [
+        ("1", "2", "3"), ("4", "5", None)]
+
+
+def test_broken_rows_stop_a_splitting_read(spark, tmp_path):
+    path = put(tmp_path, "t.csv", 'k,x,y\n1,"a\nb",z\n2,c,d\n')
+    assert sorted(tuple(r) for r in read_table(spark, path).collect()) == [("1", "a\nb", "z"), ("2", "c", "d")]
+    with pytest.raises(Exception, match="line break"):
+        read_table(spark, path, multiline=False).collect()
+    short = put(tmp_path, "s.csv", "k,x,y\n1,2\n3,4,5\n")
+    assert sorted(tuple(r) for r in read_table(spark, short).collect())[0] == ("1", "2", None)
+    with pytest.raises(Exception, match="or fewer"):
+        read_table(spark, short, multiline=False).collect()
+
+
+def test_curated_columns_are_found_by_name(spark, tmp_path):
+    path = put(tmp_path, "c.csv", "Urdu Native,Roman Urdu,English Idiom,Idiom ID\nق,qaf,e,1.0\nNA,r,f,2\n")
+    rows = sorted(tuple(r) for r in read_curated(spark, path).collect())
+    assert rows == [(1, "e", "qaf", "ق"), (2, "f", "r", None)]
+    with pytest.raises(ValueError, match="Roman Urdu"):
+        read_curated(spark, put(tmp_path, "d.csv", "Idiom ID,English Idiom,Urdu Native\n1,a,b\n"))
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_ordinals_of_a_scan(spark, tmp_path, multiline):
+    """Rows of several files and blocks are numbered as they lie, without those left out; nothing but blocks is written."""
+    for name in "ba":
+        put(tmp_path, f"t/{name}.csv", "x,y\n" + "".join(f"{name}{i},{'' if i % 3 == 1 else i}\n" for i in range(400)))
+    before = {p for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        table = read_table(spark, str(tmp_path / "t"), multiline, input_order=True)
+        rows = with_input_ordinal(table.filter("y IS NOT NULL"), FILE_COLUMN, BLOCK_COLUMN, "n")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(x" not in plan and "rangepartitioning" not in plan
+        got = [r.x for r in rows.orderBy("n").collect()]
+        assert [r.n for r in rows.orderBy("n").collect()] == list(range(len(got)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{name}{i}" for name in "ab" for i in range(400) if i % 3 != 1]
+    written = {p for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet")} - before
+    assert written and all("blocks-" in str(p) for p in written)
+
+
+def test_parquet_base_without_ids(spark, tmp_path):
+    rows = [(f"i{i}" if i % 4 else " ", "m", "g") for i in range(30)]
+    spark.createDataFrame(rows, ["Idiom", "Meaning(s)", "Matching German Idiom"]).coalesce(1).write.parquet(str(tmp_path / "b"))
+    got = clean_base(read_base(spark, str(tmp_path / "b"), "parquet")).orderBy("idiom_id").collect()
+    assert [(r.idiom_id, r.idiom) for r in got] == list(enumerate(f"i{i}" for i in range(30) if i % 4))
+
+
+def test_ids_written_as_decimals(spark, tmp_path):
+    head = "Idiom ID,Idiom,Meaning(s),Matching German Idiom\n"
+    path = put(tmp_path, "b.csv", head + "1.0,a,m,g\n12,b,m,g\n,c,m,g\n3.,d,m,g\n1.0E1,e,m,g\n")
+    assert {r.idiom: r.idiom_id for r in clean_base(read_base(spark, path)).collect()} == {
+        "a": 1, "b": 12, "c": None, "d": 3, "e": 10}
+    with pytest.raises(Exception, match="not a whole number: 1.5"):
+        clean_base(read_base(spark, put(tmp_path, "c.csv", head + "1.5,a,m,g\n"))).collect()
+
+
+def test_batch_scores_write_the_texts_once(spark, tmp_path):
+    text = "".join(chr(97 + i * 7 % 26) for i in range(3000))
+    body = "English Sentence,Target A,Target B,Target C\n" + "".join(
+        f"{i}{text[i:]},{i}{text[i + 1:]},{i}{text[i + 2:]},{i}{text[i + 3:]}\n" for i in range(200))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p for p in shared.rglob("*.parquet")}
+    triples = load_triples(spark, put(tmp_path, "t.csv", body), "de")
+    evaluate(triples, JUDGE, "de", batch_overlap()).write(str(tmp_path / "out"))
+    between = sum(p.stat().st_size for p in shared.rglob("*.parquet") if p not in before)
+    results = sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet"))
+    assert results > 100_000 and between < 0.2 * results
+    assert spark.read.parquet(str(tmp_path / "out/judge/german/results")).count() == 200

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from triptych.functions.text import exact, strip
-from triptych.operators.ordinal import with_ordinal
-from triptych.sources.readers import BASE_COLUMNS, ID_COLUMN, INPUT_ORDER
+from triptych.operators.ordinal import with_input_ordinal, with_ordinal
+from triptych.sources.readers import (
+    BASE_COLUMNS,
+    BLOCK_COLUMN,
+    FILE_COLUMN,
+    ID_COLUMN,
+    INPUT_ORDER,
+    whole_number,
+)
 
 _SAMPLE_RANGE = 10007
 _SAMPLE_STEP = 7919
@@ -27,14 +34,17 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def clean_base(df: DataFrame, order: Sequence[str | Column] = INPUT_ORDER) -> DataFrame:
     """Usable base idioms: idiom_id, idiom, meaning, german_idiom.
 
-    The idiom is stripped and must not be blank. Without an id column the id is
-    the row's place among the rows kept, in `order`.
+    The idiom is stripped and must not be blank. Ids are whole numbers, also if
+    written like `7.0`. Without an id column the id is the row's place among the
+    rows kept, in `order`.
     """
     kept = (drop_incomplete(df, BASE_COLUMNS)
             .withColumn("Idiom", strip(F.col("Idiom")))
             .filter(F.col("Idiom") != ""))
     if ID_COLUMN in df.columns:
-        kept = kept.withColumn("idiom_id", exact(ID_COLUMN).cast("long"))
+        kept = kept.withColumn("idiom_id", whole_number(exact(ID_COLUMN)))
+    elif tuple(map(str, order)) == INPUT_ORDER:
+        kept = with_input_ordinal(kept, FILE_COLUMN, BLOCK_COLUMN, "idiom_id")
     else:
         kept = with_ordinal(kept, order, "idiom_id")
     idiom, meaning, german = (exact(n) for n in BASE_COLUMNS)

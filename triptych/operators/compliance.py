@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from triptych.functions.text import truthy
 
-ARABIC = r"[؀-ۿ]"
-LATIN = r"[A-Za-z]"
+# Letters, not marks or stops: of the Arabic script, presentation forms included, and Latin ones.
+ARABIC = r"[\p{IsArabic}&&\p{L}]"
+LATIN = r"[\p{IsLatin}&&\p{L}]"
 
 
 def uses_phrase(text: Column, phrase: Column) -> Column:
@@ -25,12 +26,12 @@ def uses_bold(sentence: Column, idiom: Column) -> Column:
 
 
 def is_native_script(text: Column) -> Column:
-    """Written in Perso-Arabic: at least one letter of that block."""
-    return F.coalesce(text.rlike(ARABIC), F.lit(False))
+    """Written in Perso-Arabic: at least one letter of that script, and no Latin one."""
+    return F.coalesce(text.rlike(ARABIC) & ~text.rlike(LATIN), F.lit(False))
 
 
 def is_roman_script(text: Column) -> Column:
-    """Written in Latin: a Latin letter and none of the Perso-Arabic block."""
+    """Written in Latin: a Latin letter and no Perso-Arabic one."""
     return F.coalesce(text.rlike(LATIN) & ~text.rlike(ARABIC), F.lit(False))
 
 

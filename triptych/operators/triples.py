@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from triptych.functions.formats import language_pair
 from triptych.functions.text import exact
 from triptych.operators.cleaning import drop_incomplete
-from triptych.operators.ordinal import with_ordinal
-from triptych.sources.readers import INPUT_ORDER
+from triptych.operators.ordinal import with_input_ordinal
+from triptych.sources.readers import BLOCK_COLUMN, FILE_COLUMN, INPUT_ORDER
 
 TEXTS = ("src", "cand_a", "cand_b", "cand_c")
 
@@ -26,7 +26,7 @@ def project_triples(df: DataFrame, roles: Mapping[str, str], key: str | None = N
     kept = drop_incomplete(df, [roles[r] for r in TEXTS])
     own = [c for c in df.columns if c not in INPUT_ORDER]
     if key is None:
-        kept, seg_id = with_ordinal(kept, INPUT_ORDER, "_seg_id"), F.col("_seg_id")
+        kept, seg_id = with_input_ordinal(kept, FILE_COLUMN, BLOCK_COLUMN, "_seg_id"), F.col("_seg_id")
     else:
         seg_id = exact(key).cast("long")
     return kept.select(seg_id.alias("seg_id"), *(exact(roles[r]).alias(r) for r in TEXTS),

@@ -349,8 +349,8 @@ UNION ALL SELECT seg_id, 'A uses the idiom' AS rule FROM checks WHERE NOT a_uses
 ORACLE_SQL["script_compliance"] = r"""
 WITH t AS (SELECT doc_id, CASE lang WHEN 'en' THEN translate(text, 'aeion', 'اےیون') ELSE text END AS text
   FROM documents)
-SELECT doc_id, regexp_matches(text, '[\x{0600}-\x{06FF}]') AS native_ok,
-  regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(text, '[\x{0600}-\x{06FF}]') AS roman_ok FROM t"""
+SELECT doc_id, regexp_matches(text, '\p{Arabic}') AND NOT regexp_matches(text, '\p{Latin}') AS native_ok,
+  regexp_matches(text, '\p{Latin}') AND NOT regexp_matches(text, '\p{Arabic}') AS roman_ok FROM t"""
 
 ORACLE_SQL["review_sample_of_documents"] = """
 SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10007 * 7919 % 10007 < 2001.4"""
