@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -23,7 +24,7 @@ from triptych.operators.compliance import (
 from triptych.operators.curation import choose_candidates, one_per_key, override, pool_candidates, transliterate
 from triptych.operators.stages import GERMAN, IDENTIFICATION, ModelGenerator, ReplayGenerator, Stage, run_stage
 from triptych.plans.creation import create_dataset
-from triptych.sources.shared import new_path
+from triptych.sources.shared import materialize, new_path, run_folder
 
 ATTEMPTS = ("stage string, idiom_id long, attempt int, response string, "
             "prompt_tokens long, completion_tokens long")
@@ -164,10 +165,10 @@ def test_resumed_run_asks_nothing_again(spark, tmp_path):
 def test_prompts_go_to_the_model_once_and_alone(spark):
     prompts = spark.createDataFrame([(1, "p", "k")], "idiom_id long, prompt string, other string")
     answered = ModelGenerator(lambda: lambda p: (p, 1, 1)).reply(prompts, "s", 1)
-    assert answered.columns == ["idiom_id", "prompt", "other", "response", "prompt_tokens", "completion_tokens"]
+    assert answered.columns == ["idiom_id", "prompt", "other", "response", "prompt_tokens", "completion_tokens", "error"]
     plan = answered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
-    assert tuple(answered.first()) == (1, "p", "k", "p", 1, 1)
+    assert tuple(answered.first()) == (1, "p", "k", "p", 1, 1, None)
 
 
 def test_model_without_tokens(spark):
@@ -280,8 +281,65 @@ def test_phrase_and_script_rules(spark):
     got = df.select("i", uses_bold(F.col("t"), F.col("p")).alias("b"),
                     uses_phrase(F.col("t"), F.col("p")).alias("u")).orderBy("i").collect()
     assert [(r.b, r.u) for r in got] == [(b, u) for _, _, b, u in rows]
-    texts = [("jal", False, True), ("جل", True, False), ("جل x", True, False), ("12", False, False), (None, False, False)]
+    # Letters count, with presentation forms; an Arabic comma is none, and a native text has no Latin word.
+    texts = [("jal", False, True), ("جل", True, False), ("جل x", False, False), ("12", False, False), (None, False, False),
+             ("well، yes", False, True), ("\ufe9d\ufedd", True, False), ("،؟", False, False), ("é", False, True)]
     df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "i int, t string")
     got = df.select("i", is_native_script(F.col("t")).alias("n"),
                     is_roman_script(F.col("t")).alias("r")).orderBy("i").collect()
     assert [(r.n, r.r) for r in got] == [(n, r) for _, n, r in texts]
+
+
+def test_batches_of_prompts(spark):
+    """A failed prompt, or a failed call, leaves the other prompts of its batch their replies; errors are kept."""
+    def build():
+        def ask(prompts):
+            assert len(prompts) <= 4
+            if len(prompts) > 1 and "p3" in prompts:
+                raise TimeoutError("slow")
+            if prompts == ["p5"]:
+                return []
+            return [KeyError("bad") if p == "p7" else (p.upper(), 1, 2) for p in prompts]
+        return ask
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "idiom_id long, prompt string").repartition(3)
+    rows = {r.idiom_id: r for r in ModelGenerator(build, prompts_per_call=4).reply(prompts, "s", 1).collect()}
+    assert len(rows) == 12 and rows[7].response is None and rows[7].error == "KeyError: 'bad'"
+    assert {i: r.response for i, r in rows.items() if i not in (5, 7)} == {i: f"P{i}" for i in range(12) if i not in (5, 7)}
+    assert all(r.error is None and r.completion_tokens == 2 for i, r in rows.items() if i not in (5, 7))
+
+
+def test_errors_are_kept_with_the_attempts(spark):
+    def build():
+        def ask(prompt):
+            raise ConnectionError("no key")
+        return ask
+    prompts = spark.createDataFrame([(1, "p")], "idiom_id long, prompt string")
+    result = run_stage(GERMAN, prompts, ModelGenerator(build), new_path(spark, "errors"))
+    assert [(r.attempt, r.error) for r in result.attempts.orderBy("attempt").collect()] == [
+        (n, "ConnectionError: no key") for n in (1, 2, 3)]
+    assert [r.idiom_id for r in result.rejected.collect()] == [1] and result.replies.isEmpty()
+
+
+def test_rounds_lie_apart_and_take_one_job_each(spark):
+    def build():
+        return lambda prompt: ('{"english_sentence": "x"}' if prompt.endswith("0") else "no", 1, 1)
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "idiom_id long, prompt string")
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    result = run_stage(GERMAN, prompts, ModelGenerator(build), new_path(spark, "rounds"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 2 * 3
+    plan = result.rejected._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usable" in plan and "reply" not in plan.split("ReadSchema")[1]
+    assert result.replies.count() == 4 and result.rejected.count() == 36 and result.settled.count() == 40
+
+
+def test_a_run_leaves_nothing_behind(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    with run_folder(spark) as folder:
+        frame = materialize(spark.range(5), "kept")
+        assert Path(folder).exists() and set(shared.iterdir()) - before == {Path(folder)}
+        frame.write.parquet(str(tmp_path / "out"))
+    assert set(shared.iterdir()) == before and spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert str(shared) == str(Path(new_path(spark, "x")).parent)

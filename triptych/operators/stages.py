@@ -8,7 +8,7 @@ from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from triptych.functions.replies import field
@@ -34,12 +34,14 @@ IDENTIFICATION = Stage("urdu_ident", ("urdu_idiom_native", "urdu_idiom_roman"))
 URDU = Stage("urdu_trans", URDU_KEYS)
 TRANSLITERATION = Stage("transliteration", ("urdu_idiom_native",))
 
-Ask = Callable[[str], tuple[str | None, int | None, int | None]]
+Answer = tuple[str | None, int | None, int | None]
+Ask = Callable[[str], Answer]
+AskMany = Callable[[list[str]], list[Answer | Exception]]
 
 
 class Generator(Protocol):
     def reply(self, prompts: DataFrame, stage: str, attempt: int) -> DataFrame:
-        """Add response, prompt_tokens and completion_tokens to the rows.
+        """Add response, prompt_tokens and completion_tokens to the rows, and error if there is one to tell.
 
         Every row stays, once; it has idiom_id and prompt among its columns.
         """
@@ -52,33 +54,46 @@ class ModelGenerator:
 
     `build` makes the client, once per Spark task; called with a prompt it
     gives (text, prompt tokens, completion tokens). If it raises, the attempt
-    has no reply and no tokens. `spread` deals the prompts out over that many
-    partitions.
+    has no reply and no tokens, but the error. With `prompts_per_call` the
+    client gets lists of so many prompts at most, and gives a list with such an
+    answer, or an exception, for each: for engines that work on batches and
+    clients that have many calls under way. If it raises, its prompts are
+    asked one by one. `spread` deals the prompts out over that many partitions.
     """
 
-    build: Callable[[], Ask]
+    build: Callable[[], Ask | AskMany]
     spread: int | None = None
+    prompts_per_call: int | None = None
 
     def reply(self, prompts: DataFrame, stage: str, attempt: int) -> DataFrame:
-        build = self.build
+        build, size = self.build, self.prompts_per_call
 
-        def answer(ask: Ask, prompt: str) -> tuple[str | None, int | None, int | None]:
+        def failed(error: Exception) -> tuple:
+            return None, None, None, f"{type(error).__name__}: {error}"
+
+        def answers(ask: Callable, some: list[str]) -> list[tuple]:
             try:
-                return ask(prompt)
-            except Exception:
-                return None, None, None
+                found = ask(some) if size else [ask(some[0])]
+                if len(found) != len(some):
+                    raise ValueError(f"{len(found)} answers for {len(some)} prompts")
+            except Exception as error:
+                if len(some) > 1:
+                    return [answer for prompt in some for answer in answers(ask, [prompt])]
+                return [failed(error)]
+            return [failed(x) if isinstance(x, Exception) else (*x, None) for x in found]
 
         def ask_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             ask = build()
             for batch in batches:
-                yield pd.DataFrame([answer(ask, prompt) for prompt in batch],
-                                   columns=["response", "prompt_tokens", "completion_tokens"],
+                texts = list(batch)
+                rows = [row for i in range(0, len(texts), size or 1) for row in answers(ask, texts[i:i + (size or 1)])]
+                yield pd.DataFrame(rows, columns=["response", "prompt_tokens", "completion_tokens", "error"],
                                    dtype=object)
 
         # Only the prompts go to Python; the other columns stay in the JVM.
         ask_all.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         answered = F.pandas_udf(
-            ask_all, "response string, prompt_tokens long, completion_tokens long")
+            ask_all, "response string, prompt_tokens long, completion_tokens long, error string")
         if self.spread:
             prompts = prompts.repartition(self.spread)
         return (prompts.withColumn("_answer", answered.asNondeterministic()(F.col("prompt")))
@@ -107,7 +122,7 @@ class ReplayGenerator:
 class StageResult:
     """What a stage made of its prompts.
 
-    `attempts` holds every attempt made. `settled` has each prompt's row once,
+    `attempts` holds every attempt made, with its error if the call failed. `settled` has each prompt's row once,
     with the fields of its usable reply, or NULL fields if there was none.
     `replies` has only the rows with a usable reply, `rejected` the other ids.
     """
@@ -127,7 +142,8 @@ def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str
     one reads what is left from it, so no paid call is made twice because of a
     lost executor, and nothing has to be joined back. A store belongs to one
     run. With `resume`, rounds that are already complete there are taken as
-    they are, and an incomplete one is written anew.
+    they are, and an incomplete one is written anew. Usable and other replies
+    of a round lie apart, so each reader reads its own.
     """
     spark = prompts.sparkSession
     kept = [c for c in prompts.columns if c not in ("idiom_id", "prompt")]
@@ -137,23 +153,32 @@ def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str
         asked.append("kept")
         pending = prompts.select("idiom_id", "prompt", F.struct(*kept).alias("kept"))
     rounds: list[DataFrame] = []
+    left = 0
     for attempt in range(1, max_attempts + 1):
         path = f"{store}/{stage.name}/attempt={attempt}"
-        made = parse_attempts(generator.reply(pending, stage.name, attempt).select(
+        replied = generator.reply(pending, stage.name, attempt)
+        error = F.col("error") if "error" in replied.columns else F.lit(None).cast("string")
+        made = parse_attempts(replied.select(
             F.lit(stage.name).alias("stage"), F.lit(attempt).alias("attempt"), *asked,
-            strip(F.col("response")).alias("response"), "prompt_tokens", "completion_tokens"),
-            stage.required)
-        if not (resume and is_complete(spark, path)):
-            made.write.mode("overwrite" if resume else "error").parquet(path)
+            strip(F.col("response")).alias("response"), "prompt_tokens", "completion_tokens", error.alias("error")),
+            stage.required).withColumn("usable", F.col("reply").isNotNull())
+        made = made.select(*(c for c in made.columns if c != "usable"), "usable")
+        if resume and is_complete(spark, path):
+            left = None
+        else:
+            seen = Observation()
+            observed = made.observe(seen, F.count_if(~F.col("usable")).alias("left"))
+            observed.write.partitionBy("usable").mode("overwrite" if resume else "error").parquet(path)
+            left = seen.get["left"]
         rounds.append(spark.read.schema(made.schema).parquet(path))
-        pending = rounds[-1].filter(F.col("reply").isNull()).select(*asked)
-        if pending.isEmpty():
+        pending = rounds[-1].filter(~F.col("usable")).select(*asked)
+        if left == 0 or left is None and pending.isEmpty():
             break
     attempts = reduce(DataFrame.unionByName, rounds)
-    answered = F.col("reply").isNotNull()
+    answered = F.col("usable")
     fields = [field(F.col("reply"), f).alias(f) for f in stage.fields]
     row = ["idiom_id", *(F.col(f"kept.`{c}`") for c in kept), *fields]
-    return StageResult(attempts,
+    return StageResult(attempts.drop("usable"),
                        attempts.filter(answered | (F.col("attempt") == max_attempts)).select(*row),
                        attempts.filter(answered).select(*row),
                        pending.select("idiom_id"))

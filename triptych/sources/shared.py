@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_run_folders: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,8 +31,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in that of the run, that nothing else uses."""
+    folder = _run_folders[-1] if _run_folders else shared_folder(spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Have what is written in between lie in one folder, and drop it at the end.
+
+    Frames that were made in between are read from there, so what is to stay has
+    to be written to its own place before the end. Without this, intermediate
+    tables stay in the shared folder.
+    """
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    _run_folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _run_folders.remove(folder)
+        _file_system(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
@@ -43,8 +64,11 @@ def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+        spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a job has finished writing `path`."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    return _file_system(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))

@@ -43,7 +43,8 @@ from triptych.operators.stages import (
     GERMAN,
     IDENTIFICATION,
     URDU,
-    Ask,
+    Answer,
+    AskMany,
     ModelGenerator,
     ReplayGenerator,
     assemble,
@@ -450,13 +451,18 @@ def candidate_pool_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose_candidates(pool, choices, ["turns", "pages", "documents"])
 
 
-def _reverse_model() -> Ask:
-    def ask(prompt: str) -> tuple[str, int, int]:
+def _reverse_model() -> AskMany:
+    def answer(prompt: str) -> Answer | Exception:
         idiom = prompt.split('"')[1]
         if idiom.endswith("9"):
-            raise ConnectionError("no answer")
+            return ConnectionError("no answer")
         text = '{"urdu_idiom_native": "%s"}' % idiom[::-1]
         return f"```json\n{text}\n```", len(prompt), len(text)
+
+    def ask(prompts: list[str]) -> list[Answer | Exception]:
+        if len(prompts) > 1 and any(p.split('"')[1].endswith("7") for p in prompts):
+            raise TimeoutError("too much at once")
+        return [answer(p) for p in prompts]
     return ask
 
 
@@ -464,7 +470,7 @@ def _reverse_model() -> Ask:
 def transliteration_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     curated = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("idiom_id"), F.col("s_name").alias("urdu_roman"))
-    result = transliterate(curated, ModelGenerator(_reverse_model), new_path(spark, "transliteration"))
+    result = transliterate(curated, ModelGenerator(_reverse_model, prompts_per_call=16), new_path(spark, "transliteration"))
     return result.replies
 
 

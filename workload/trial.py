@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -10,6 +11,7 @@ import duckdb
 import pandas as pd
 
 from triptych.session import build_session
+from triptych.sources.shared import run_folder
 from workload.oracle import ORACLE_SQL
 from workload.queries import QUERIES
 
@@ -57,13 +59,15 @@ def differences(spark, con, sf_dir: str, name: str, queries=QUERIES, sql=ORACLE_
 def main() -> None:
     sf_dir, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
     spark = build_session("trial", "local[8]", spark__ui__enabled="false",
-                          spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+                          spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="trial-"))
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     for name in names:
         start = time.time()
         try:
-            problem, rows = differences(spark, con, sf_dir, name)
+            with run_folder(spark):
+                problem, rows = differences(spark, con, sf_dir, name)
         except Exception as error:
             problem, rows = f"{type(error).__name__}: {str(error)[:500]}", -1
         bad += bool(problem)
