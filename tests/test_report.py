@@ -5,7 +5,7 @@ import pytest
 
 from triptych.operators.lexical import WORD_DISTANCE, WORD_OVERLAP, batch_overlap, nan_below
 from triptych.operators.report import CALIBRATED, DISTANCE, JUDGE, lower_is_better_note, report_long
-from triptych.operators.scoring import score_pairs
+from triptych.operators.scoring import BatchScorer, score_pairs
 from triptych.operators.tasks import NINE_TASKS, expand_tasks
 from triptych.plans.evaluation import evaluate, evaluate_languages
 from triptych.sources.profiles import PROFILES, union_languages
@@ -104,3 +104,32 @@ def test_direction_and_input_are_checked(spark):
         evaluate(triples, DISTANCE, "de", WORD_OVERLAP)
     with pytest.raises(ValueError, match="either"):
         evaluate(triples, DISTANCE, "de")
+
+
+# The labels and keys of the nine customary reports.
+LABELS = {"de": ["Figurative", "Literal", "Incorrect"],
+          "ur-native": ["Native Idiomatic", "Native Descriptive", "Native Literal"],
+          "ur-roman": ["Roman Idiomatic", "Roman Descriptive", "Roman Literal"]}
+DISTANCE_AVERAGES = ["Score_QE_A", "Score_QE_B", "Score_QE_C", "Score_B_Ref_A", "Score_C_Ref_A",
+                     "Score_A_Ref_B", "Score_C_Ref_B", "Score_A_Ref_C", "Score_B_Ref_C"]
+
+
+@pytest.mark.parametrize("language", list(LABELS))
+@pytest.mark.parametrize("batch", [False, True])
+@pytest.mark.filterwarnings("ignore:the first score")
+def test_shapes_of_all_reports(spark, language, batch):
+    triples = random_triples(spark, 12)
+    higher = batch_overlap() if batch else WORD_OVERLAP
+    judge = as_json(evaluate(triples, JUDGE, language, higher, model="m", method="x"))
+    assert {k: list(v) if isinstance(v, dict) else type(v) for k, v in judge.items()} == {
+        "language": str, "model": str, "method": str, "win_rate_A_vs_B": float,
+        "averages": [f"{c}_{name}" for c, name in zip("ABC", LABELS[language], strict=True)]}
+    calibrated = as_json(evaluate(triples, CALIBRATED, language, higher))
+    assert {k: list(v) for k, v in calibrated.items() if k != "language"} == {
+        "averages": [f"QE_{c}_{name}" for c, name in zip("ABC", LABELS[language], strict=True)],
+        "win_rates": ["A_vs_B", "A_vs_C", "B_vs_C"]}
+    lower = BatchScorer("d", False, lambda: lambda s, h, r: [len(x) for x in h]) if batch else WORD_DISTANCE
+    distance = as_json(evaluate(triples, DISTANCE, language, lower, note=lower_is_better_note("Distance")))
+    assert list(distance) == ["language", "note", "win_rates", "averages"]
+    assert list(distance["averages"]) == DISTANCE_AVERAGES
+    assert list(distance["win_rates"]) == ["A_beats_B", "A_beats_C", "B_beats_C"]

@@ -2,7 +2,48 @@
 
 from __future__ import annotations
 
-from triptych.functions.prompts import GERMAN_TEMPLATE, IDENTIFICATION_TEMPLATE, URDU_TEMPLATE
+# The prompts, spelled out once more for the SQL side.
+GERMAN_TEMPLATE = """You are helping to build a test set for English to German idiom translation.
+
+Idiom: **{idiom}**
+What it means: {meaning}
+German counterpart: "{german_idiom}"
+
+Write one natural English sentence with the idiom in bold. Then give that sentence in German three times:
+A - idiomatic, with the German counterpart exactly as given
+B - correct, saying what is meant without any idiom
+C - wrong, the idiom carried over word by word
+
+Answer with a single JSON object and nothing else. Its keys:
+english_sentence, target_A, target_B, target_C"""
+
+IDENTIFICATION_TEMPLATE = """You know the idioms of both English and Urdu well.
+
+English idiom: "{idiom}"
+What it means: "{meaning}"
+Used in: "{sentence}"
+
+Which Urdu idiom or proverb comes closest to this figurative meaning?
+
+Answer with a single JSON object and nothing else. Its keys:
+urdu_idiom_native (in Perso-Arabic script), urdu_idiom_roman (in Latin script)"""
+
+URDU_TEMPLATE = """You are helping to build a test set for English to Urdu idiom translation.
+
+English sentence: "{sentence}"
+English idiom: "{idiom}"
+What it means: "{meaning}"
+Urdu idiom in Perso-Arabic script: "{urdu_native}"
+Urdu idiom in Latin script: "{urdu_roman}"
+
+Translate the sentence six times, three times in each script.
+A - idiomatic, with the Urdu idiom of that script exactly as given
+B - correct, saying what is meant without the idiom
+C - wrong, the English idiom carried over word by word
+Each Latin version is the same sentence as the Perso-Arabic one of its letter.
+
+Answer with a single JSON object and nothing else. Its keys:
+target_A_native, target_B_native, target_C_native, target_A_roman, target_B_roman, target_C_roman"""
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -286,6 +327,44 @@ ORACLE_SQL["dataset_creation"] = _dataset(
     "coalesce('t' || toxic, urdu_idiom_native)", "coalesce('q' || quality, urdu_idiom_roman)",
     "LEFT JOIN labels ON p_partkey = doc_id")
 
+_D = f"d AS ({ORACLE_SQL['dataset_creation']})"
+
+
+def _script(column: str, own: str, other: str) -> str:
+    return (f'("{column}" IS NULL OR (regexp_matches("{column}", \'\\p{{{own}}}\') '
+            f'AND NOT regexp_matches("{column}", \'\\p{{{other}}}\')))')
+
+
+def _has(text: str, phrase: str, around: str = "") -> str:
+    return (f"coalesce(\"{phrase}\" <> '' AND contains(\"{text}\", '{around}' || \"{phrase}\" || '{around}'), FALSE)")
+
+
+_SCRIPT_COLUMNS = {script: [f"Urdu {script} Idiom", *(f"Urdu {script} Target {c} ({kind})" for c, kind in (
+    ("A", "Idiomatic"), ("B", "Descriptive"), ("C", "Literal")))] for script in ("Native", "Roman")}
+_RULES = {
+    "sentence has the idiom in bold": _has("English Sentence", "English Idiom", "**"),
+    "German A uses the idiom": _has("German Target A (Figurative)", "German Idiom Match"),
+    **{f"{script.lower()} A uses the idiom": f'("{columns[1]}" IS NULL OR {_has(columns[1], columns[0])})'
+       for script, columns in _SCRIPT_COLUMNS.items()},
+    **{f"{script.lower()} texts are in their script": " AND ".join(
+        _script(c, *(("Arabic", "Latin") if script == "Native" else ("Latin", "Arabic"))) for c in columns)
+       for script, columns in _SCRIPT_COLUMNS.items()}}
+ORACLE_SQL["created_dataset_violations"] = f"WITH {_D} " + " UNION ALL ".join(
+    f"SELECT \"Idiom ID\", '{rule}' AS rule FROM d WHERE NOT ({ok})" for rule, ok in _RULES.items())
+
+_READ = {"de": [f"German Target {c}" for c in ("A (Figurative)", "B (Alternative)", "C (Literal Incorrect)")],
+         "ur-native": _SCRIPT_COLUMNS["Native"][1:], "ur-roman": _SCRIPT_COLUMNS["Roman"][1:]}
+_CHAIN = " UNION ALL ".join(
+    f"SELECT '{language}' AS language, " + ", ".join(
+        f'CAST(10 * length("{c}") + length("English Sentence") AS DOUBLE) AS Score_QE_{r}' for r, c in zip("ABC", columns))
+    + ' FROM d WHERE "English Sentence" <> \'\' AND ' + " AND ".join(f'"{c}" <> \'\'' for c in columns)
+    for language, columns in _READ.items())
+ORACLE_SQL["created_dataset_reports"] = f"WITH {_D}, s AS ({_CHAIN}) " + " UNION ALL ".join(
+    [f"SELECT '{language}' AS language, 'QE_{c}_{name}' AS key, avg(Score_QE_{c}) AS value FROM s WHERE language = '{language}'"
+     for language, names in _NAMES.items() for c, name in zip("ABC", names)]
+    + [f"SELECT '{language}' AS language, '{a}_vs_{b}' AS key, {_wins('Score_QE_' + a, 'Score_QE_' + b, '>')} AS value "
+       f"FROM s WHERE language = '{language}'" for language in _NAMES for a, b in ("AB", "AC", "BC")])
+
 ORACLE_SQL["retry_rounds"] = f"""
 WITH {ATTEMPTS}, tries AS (SELECT p_partkey AS idiom_id, unnest([1, 2, 3]) AS attempt FROM part),
 checked AS (SELECT t.idiom_id, t.attempt, prompt_tokens, completion_tokens,

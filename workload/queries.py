@@ -12,6 +12,7 @@ from triptych.functions.prompts import german_prompt, identification_prompt, urd
 from triptych.operators.attempts import cost_summary, first_valid, parse_attempts, tokens_made
 from triptych.operators.cleaning import clean_base, first_rows, review_sample
 from triptych.operators.compliance import (
+    dataset_rules,
     is_native_script,
     is_roman_script,
     uses_bold,
@@ -31,6 +32,7 @@ from triptych.operators.report import CALIBRATED, DISTANCE, JUDGE, report_long
 from triptych.operators.scoring import (
     BatchScorer,
     Codes,
+    ColumnScorer,
     Model,
     attach_scores,
     fail_whole_calls,
@@ -241,16 +243,20 @@ def language_codes_at_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("language", "seg_id", *(t.label for t in QE_TASKS))
 
 
-@query
-def language_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reports of three languages that are scored in one job, as rows."""
-    _, reports = evaluate_languages(_turned_languages(spark, sf_dir), CALIBRATED, WORD_OVERLAP)
+def _report_entries(reports: DataFrame) -> DataFrame:
     parsed = F.from_json("report", "averages map<string,double>, win_rates map<string,double>")
     entries = F.concat(F.map_entries(parsed["averages"]), F.map_entries(parsed["win_rates"]))
     return reports.select("language", F.explode(entries).alias("_entry")).select(
         "language", "_entry.key", "_entry.value")
 
 
+@query
+def language_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of three languages that are scored in one job, as rows."""
+    _, reports = evaluate_languages(_turned_languages(spark, sf_dir), CALIBRATED, WORD_OVERLAP)
+    return _report_entries(reports)
+
+
 def _outside_scorer(spark: SparkSession, requests: str) -> DataFrame:
     """What a scorer that only sees the request files replies."""
     sent = spark.read.schema("seg_id long, source string, hypothesis string, reference string, "
@@ -419,6 +425,26 @@ def dataset_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.dataset
 
 
+@query
+def created_dataset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a created dataset that break the rules of their prompts."""
+    dataset = materialize(dataset_creation(spark, sf_dir), "dataset")
+    return violations(dataset, "Idiom ID", dataset_rules(dataset.columns))
+
+
+LENGTHS = ColumnScorer("lengths", True, F.length, lambda h, other: h * 10 + other)
+
+
+@query
+def created_dataset_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From base idioms to reports: a created dataset is written, read per language, scored and reported on."""
+    path = new_path(spark, "dataset")
+    write_table(dataset_creation(spark, sf_dir), path)
+    triples = load_languages(spark, path, list(PROFILES), key="Idiom ID")
+    _, reports = evaluate_languages(triples, CALIBRATED, LENGTHS)
+    return _report_entries(reports)
+
+
 @query
 def token_cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = tokens_made(event_attempts(spark, sf_dir))
