@@ -64,8 +64,9 @@ def read_table(spark: SparkSession, path: str, multiline: bool = True,
     stop = overflow.isNotNull() if multiline else F.lit(True)
     problem = f"a row of {path} has more fields than its header" + (
         "" if multiline else ", or fewer, as rows with a line break in a field have")
+    begins = F.concat(F.lit(f"{problem}: it begins with "), F.coalesce(exact(names[0]), F.lit("nothing")))
     width_checked = F.when(F.col(_BROKEN).isNull(), True).when(
-        stop, F.raise_error(F.lit(problem)).cast("boolean")).otherwise(True)
+        stop, F.raise_error(begins).cast("boolean")).otherwise(True)
     kept = [na_to_null(exact(n)).alias(n) for n in names]
     if input_order:
         kept += [F.col("_metadata.file_path").alias(FILE_COLUMN),
