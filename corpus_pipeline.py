@@ -17,8 +17,7 @@ from triptych.sources.shared import materialize
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
     model = language_id.train(docs.filter(remainder(F.col("doc_id"), 4) != 2))
-    judged = language_id.identify(docs, model, carry=docs.columns)
-    return judged.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    return language_id.keep_identified(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

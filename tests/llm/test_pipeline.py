@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -17,6 +18,7 @@ from tests.llm.test_mixing import plain_mix
 from triptych.llm.oracle import ORACLE_SQL
 from triptych.llm.queries import QUERIES
 from triptych.llm.tokens import load_tokenizer
+from triptych.sources.shared import materialize
 from workload.trial import connect, differences
 
 TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -67,3 +69,20 @@ def test_pipeline(spark):
         for i in range(len(starts[0])):
             got[key, n, zlib.crc32(b"".join(s[i] for _, s in sorted(starts.items())))] += 1
     assert got == want
+
+
+def test_stages_on_odd_rows(spark, make_docs):
+    """NULLs in any column, empty, blank and long texts, repeated rows, clashing names, an empty table."""
+    rows = [(1, "the cat sat on the mat", "en", "a"), (1, "the cat sat on the mat", "en", "a"), (None, None, None, None),
+            (2, "", "en", None), (3, " \n", None, "b"), (4, "123 %", "en", "b"), (5, "der hund und die katze " * 9000, "de", "b"),
+            (None, "another text without an id", None, None), (6, "wo ist das haus", "de", "c"), (7, "Wo  ist das haus", None, "c")]
+    docs = make_docs(rows).withColumns({"score": F.lit(1), "lang_pred": F.lit("zz"), "a.b": F.lit(None).cast("int"),
+                                        "taken": F.lit("x"), "kept": F.lit(False)})
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            n = frame.count()
+            frame = materialize(stage(spark, frame, TINY), "odd")
+            assert frame.dtypes == docs.dtypes, name
+            assert n == 0 or frame.count() > 0
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, TINY)
+        assert (packed.count() > 0) == (n > 0)

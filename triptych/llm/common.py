@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triptych.functions.text import exact
+
 # What separates words, and a word, in Java and Python regular expressions.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,4 +57,5 @@ def one_row_each(docs: DataFrame, chosen: DataFrame, id_column: str, text_column
 
     rows = keyed(docs, F.xxhash64(whole_text(text_column)))
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__hash"))).filter("__n = 1")
-    return rows.join(keyed(chosen, F.col("text_hash")).select(*keys), keys, "left_semi").select(*docs.columns)
+    return rows.join(keyed(chosen, F.col("text_hash")).select(*keys), keys, "left_semi").select(
+        *map(exact, docs.columns))

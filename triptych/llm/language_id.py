@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from triptych.functions.text import exact
 from triptych.llm.common import slices, whole_text
 
 LONGEST = 3  # n-grams have 1 to so many characters
@@ -148,18 +149,10 @@ def train(docs: DataFrame, text_column: str = "text", language_column: str = "la
     return fit(sample["lang"].tolist(), [np.frombuffer(g, np.int32) for g in sample["grams"]], landmarks)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "text",
-             carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns `carry` of each row of `docs`, with `lang_pred` and `score`.
-
-    The prediction is made from the whole text alone: of its distinct n-grams, those that
-    each landmark has too, over the root of both numbers of n-grams, weighted per language;
-    the best language's margin, -1 to 1, makes a score of 0 to 1. Texts without a letter
-    (NULL and empty ones) are `und` with score 0, as are all texts without a model. Repeated
-    rows are each given. Columns of `docs` may have any names.
-    """
+def _identified(docs: DataFrame, model: LanguageModel | None, text_column: str, carry: Sequence[str]) -> DataFrame:
+    """The columns `carry` as c0, c1 and so on, with `lang_pred` and `score`."""
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
-    rows = docs.select(whole_text(text_column).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    rows = docs.select(whole_text(text_column).alias("text"), *(exact(c).alias(f"c{i}") for i, c in enumerate(carry)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum()
@@ -172,6 +165,30 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "t
                     [*part.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     [*part.schema.names[1:], "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, ", ".join(
+    return rows.mapInArrow(run, ", ".join(
         [*(f"c{i} {kind}" for i, kind in enumerate(kinds)), "lang_pred string, score double"]))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "lang_pred", "score")
+
+
+def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "text",
+             carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns `carry` of each row of `docs`, with `lang_pred` and `score`.
+
+    The prediction is made from the whole text alone: of its distinct n-grams, those that
+    each landmark has too, over the root of both numbers of n-grams, weighted per language;
+    the best language's margin, -1 to 1, makes a score of 0 to 1. Texts without a letter
+    (NULL and empty ones) are `und` with score 0, as are all texts without a model. Repeated
+    rows are each given. Columns of `docs` may have any names.
+    """
+    found = _identified(docs, model, text_column, carry)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_column: str = "text") -> DataFrame:
+    """The rows of `docs` whose text has a letter, with all their columns.
+
+    Without a model no text can be judged, and all rows are kept.
+    """
+    if model is None:
+        return docs
+    found = _identified(docs, model, text_column, docs.columns).filter(F.col("lang_pred") != UNDETERMINED)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triptych.functions.text import exact
 from triptych.llm.common import WORD, whole_text
 from triptych.sources.shared import materialize
 
@@ -122,4 +123,5 @@ def take(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_colu
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1),
                                F.col("__words").cast("int")), " ")
     return taken.withColumn(text_column, F.when(whole, F.col(text_column)).otherwise(cut)).withColumn(
-        length_column, F.when(whole, F.col(length_column)).otherwise(F.length(text_column))).select(*columns)
+        length_column, F.when(whole, F.col(length_column)).otherwise(F.length(text_column))).select(
+        *map(exact, columns))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triptych.functions.text import exact
 from triptych.llm.common import slices, whole_text
 
 # N-gram lengths, and how many vectors words and n-grams have, each.
@@ -194,7 +195,7 @@ def score(docs: DataFrame, model: QualityModel | None, text_column: str = "text"
     score of the prior; without a model all texts get 0.5. Repeated rows are each given.
     """
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
-    rows = docs.select(whole_text(text_column).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    rows = docs.select(whole_text(text_column).alias("text"), *(exact(c).alias(f"c{i}") for i, c in enumerate(carry)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
