@@ -34,6 +34,21 @@ ORACLE_SQL = {
                CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
                     + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken
         FROM placed""",
+    "op2_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+        windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS words FROM starts),
+        lowest AS (SELECT words, min(doc_id) AS low FROM windows GROUP BY words),
+        repeats AS (SELECT doc_id, i FROM windows JOIN lowest USING (words) WHERE low < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM repeats),
+        each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+            FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op3_exact_dedup": r"""
         WITH texts AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
