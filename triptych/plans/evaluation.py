@@ -228,3 +228,11 @@ def evaluate_languages(triples: DataFrame, kind: ReportKind, scorer: Scorer,
         reports.append(report_json(own, kind, labels, language, **details)
                        .select(F.lit(language).alias("language"), "report"))
     return scored, reduce(DataFrame.unionByName, reports)
+
+
+def write_reports(reports: DataFrame, root: str, kind: ReportKind,
+                  profiles: Mapping[str, Profile] = PROFILES) -> None:
+    """The reports of `evaluate_languages`, each under <root>/<kind>/<language folder>."""
+    for row in reports.select("language").collect():
+        own = reports.filter(F.col("language") == row["language"])
+        write_report(own, f"{output_path(root, kind.name, profiles[row['language']].folder)}/report")

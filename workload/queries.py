@@ -56,7 +56,7 @@ from triptych.operators.stats import averages, first_score_is_zero, summarize, w
 from triptych.operators.tasks import NINE_TASKS, QE_TASKS, expand_tasks
 from triptych.operators.triples import drop_incomplete_triples, scorer_frame
 from triptych.plans.creation import create_dataset
-from triptych.plans.evaluation import evaluate, evaluate_languages
+from triptych.plans.evaluation import evaluate, evaluate_languages, write_reports
 from triptych.sources.profiles import PROFILES, load_languages, load_triples, union_languages
 from triptych.sources.readers import (
     read_base,
@@ -252,9 +252,13 @@ def _report_entries(reports: DataFrame) -> DataFrame:
 
 @query
 def language_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reports of three languages that are scored in one job, as rows."""
+    """The reports of three languages that are scored in one job, written, read and as rows."""
     _, reports = evaluate_languages(_turned_languages(spark, sf_dir), CALIBRATED, WORD_OVERLAP)
-    return _report_entries(reports)
+    root = new_path(spark, "reports")
+    write_reports(reports, root, CALIBRATED)
+    entries = F.concat(F.map_entries("averages"), F.map_entries("win_rates"))
+    return read_reports(spark, f"{root}/calibrated/*/report").select(
+        "language", F.explode(entries).alias("_entry")).select("language", "_entry.key", "_entry.value")
 
 
 def _outside_scorer(spark: SparkSession, requests: str) -> DataFrame:
