@@ -178,7 +178,8 @@ def chunk_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     first = F.col("key").eqNullSafe(F.col("first")) & (F.col("bucket") == F.col("of"))
     places = F.when(F.col("of").isNotNull(), F.array(own, extra)).otherwise(F.array(own))
     dealt = rows.join(F.broadcast(firsts), first, "left").select("key", "text", F.explode(places).alias("place"))
-    dealt = dealt.select("place.bucket", "place.extra", "key", "text").repartition(n, "bucket").sortWithinPartitions(
+    # Each range is a partition of its own.
+    dealt = dealt.select("place.bucket", "place.extra", "key", "text").repartitionById(n, "bucket").sortWithinPartitions(
         "bucket", "extra", F.col("key").asc_nulls_first(), F.xxhash64("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return dealt.mapInArrow(_comparing(chunking), (
