@@ -19,13 +19,19 @@ DROPPED = frozenset(
     "button select option optgroup textarea input fieldset dialog title noembed noframes".split())
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-DROPPED_NAMES = frozenset(
-    "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead banner footer sidebar aside widget "
-    "widgets notice notices cookie cookies consent gdpr ad ads adv advert adverts advertisement advertisements "
+# Names of layouts too: an article in an element that is called so is still one.
+LAYOUT_NAMES = frozenset("nav navbar navigation menu header masthead banner footer sidebar".split())
+HEADINGS = frozenset("header masthead banner".split())
+DROPPED_NAMES = LAYOUT_NAMES | frozenset(
+    "menus breadcrumb breadcrumbs aside notice notices cookie cookies consent gdpr ad ads adv advert adverts advertisement advertisements "
     "advertising adsense sponsor sponsored promo promotion comment comments disqus replies respond share sharing "
     "social related recommended newsletter subscribe subscription popup modal overlay login signup signin search "
     "form pagination pager toolbar copyright".split())
 MAIN = frozenset(["article", "main"])
+# A class that begins so tells what the page has around the element, or has not.
+ABOUT = frozenset(["has", "with", "no", "without"])
+# How an element is dropped: not, by the name of its layout alone, or for good.
+NOT, LAYOUT, GONE = range(3)
 # What an opening element ends, if it is open.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th"), "option": ("option",)}
@@ -43,7 +49,7 @@ class Piece:
     token: int
     text: str
     block: int
-    dropped: bool
+    dropped: int
     main: bool
 
 
@@ -59,26 +65,36 @@ def _token(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) >> 1
 
 
-def _is_dropped(name: str, attributes: str, in_main: bool) -> tuple[bool, str]:
+def _words(names: str) -> set[str]:
+    """The words of class names or ids, but of those that tell about the page."""
+    parts = ([p.lower() for p in PART.findall(name)] for name in names.split())
+    return {word for own in parts if own and own[0] not in ABOUT for word in own}
+
+
+def _dropped(name: str, attributes: str, in_main: bool) -> tuple[int, str]:
     """Whether an element is no part of an article, and what tells it from others of its name."""
     if name in DROPPED or name == "header" and not in_main:
-        return True, name
+        return GONE, name
     if not attributes.strip():
-        return False, name
+        return NOT, name
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    label = " ".join([name, found.get("class", ""), found.get("id", "")]).rstrip()
-    words = {p.lower() for p in PART.findall(found.get("class", "") + " " + found.get("id", ""))}
+    names = found.get("class", "") + " " + found.get("id", "")
+    label = f"{name} {' '.join(names.split())}".rstrip()
     roles = set(found.get("role", "").lower().split())
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(
-        r"display\s*:\s*none", found.get("style", ""), re.I)
-    return bool(hidden or roles & DROPPED_ROLES or name not in ("body", "html") and words & DROPPED_NAMES), label
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or roles & DROPPED_ROLES or re.search(
+            r"display\s*:\s*none", found.get("style", ""), re.I):
+        return GONE, label
+    words = set() if name in ("body", "html") else _words(names) & DROPPED_NAMES
+    if in_main or name in MAIN:
+        words -= HEADINGS
+    return (NOT if not words else LAYOUT if words <= LAYOUT_NAMES else GONE), label
 
 
 def parse(source: str) -> Page:
     """The tokens of a page: tags and texts, each told apart by the path of blocks that it stands in."""
     page = Page()
-    # Open elements: name, path, whether dropped, whether the element itself is, whether in the main part.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # Open elements: name, path, how dropped, whether in the main part.
+    stack: list[tuple[str, str, int, bool]] = [("", "", NOT, False)]
     block = at = 0
     while at < len(source):
         m = TOKEN.match(source, at)
@@ -111,16 +127,18 @@ def parse(source: str) -> Page:
                     del stack[deep:]
                 deep -= 1
         _, path, dropped, main = stack[-1]
-        own, label = _is_dropped(name, m[3], main)
+        own, label = _dropped(name, m[3], main)
+        if name in MAIN and dropped == LAYOUT:
+            dropped = NOT
         inner = path if name in INLINE else f"{path}/{label}"
         page.tokens.append(_token(inner, name))
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
             at = end.start() if end else len(source)
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, inner, dropped or own, main or name in MAIN or 'role="main"' in m[3]))
+            stack.append((name, inner, max(dropped, own), main or name in MAIN or 'role="main"' in m[3]))
         elif name in RAW:
-            stack.append((name, inner, True, main))
+            stack.append((name, inner, GONE, main))
     return page
 
 
