@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 
 # Distinct parts that a task remembers before it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
+# Words that the tokenizer gets at a time: its encodings are large.
+WORDS_PER_CALL = 8192
 
 # A part keeps the white space before it, or is without. Letters before a stop are a part too:
 # a byte-level tokenizer takes letters alone, so it has a boundary there.
@@ -34,6 +37,12 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def _encoded(tokenizer, words: list[str]) -> Iterator:
+    """The encodings of words, of which only some are held at a time."""
+    for start in range(0, len(words), WORDS_PER_CALL):
+        yield from tokenizer.encode_batch_fast(words[start:start + WORDS_PER_CALL], add_special_tokens=False)
+
+
 class WordCounts:
     """Numbers of tokens, for a tokenizer that drops white space."""
 
@@ -48,8 +57,7 @@ class WordCounts:
             self.known.clear()
         known = self.known
         new = list({word for words in parts for word in words if word not in known})
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update(zip(new, map(len, encoded), strict=True))
+        known.update(zip(new, map(len, _encoded(self.tokenizer, new)), strict=True))
         return [sum(map(known.__getitem__, words)) for words in parts]
 
 
@@ -81,7 +89,7 @@ class WordIds:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.places.new, add_special_tokens=False)]
+        ids = [e.ids for e in _encoded(self.tokenizer, self.places.new)]
         self.places.new.clear()
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
