@@ -90,6 +90,25 @@ def test_a_passage_of_some_pages_stays(spark):
     assert {r.page_id: r.text for r in got} == {i: f"own {i}" + "\nshared\ntwice" * (i < 25) for i in range(30)}
 
 
+def test_boilerplate_that_a_few_pages_lack_goes(spark):
+    top, end = "<div class=x1><p>Welcome</p><p>to us</p></div>", "<p>All rights</p>"
+    rows = [(i, "http://a.example/", "<body>" + top * (i % 40 != 7) + f"<div class=x2><h1>title {i}</h1>" + "<p>passage</p>" * (i % 3 > 0)
+             + "".join(f"<p>own {i} {k}</p>" for k in range(1 + i % 4)) + "</div>" + "<p>Read on</p>" * (i % 4 > 0)
+             + end * (i % 50 != 9) + "</body>") for i in range(200)]
+    rows += [(200, "http://a.example/", "<p>gone 404</p>"), (201, "http://a.example/", rows[0][2].replace("Welcome", "Hello"))]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: "\n".join([f"title {i}", *["passage"] * (i % 3 > 0), *(f"own {i} {k}" for k in range(1 + i % 4))])
+            for i in range(200)}
+    assert {r.page_id: r.text for r in got} == want | {200: "gone 404", 201: "Hello\n" + want[0]}
+
+
+def test_copies_in_most_pages_stay(spark):
+    rows = [(i, "http://a.example/", "<body><p>Welcome</p><div>" + ("<h1>copy</h1><p>text</p>" if i % 5 < 3 else f"<h1>title {i}</h1><p>own {i}</p>")
+             + "</div></body>") for i in range(30)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "copy\ntext" if i % 5 < 3 else f"title {i}\nown {i}" for i in range(30)}
+
+
 def test_classes_do_not_depend_on_partitions(spark):
     rows = site(40)
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triptych.llm.common import slices, whole_text
-from triptych.llm.html_parse import main_text, parse
+from triptych.llm.html_parse import is_text, main_text, parse
 from triptych.sources.shared import materialize
 
 # The token that every page has once.
 PAGE = 0
+# What the texts of one slot weigh together in one page.
+WEIGHT = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -41,15 +44,16 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(pages: DataFrame, least_pages: int = 10, support: float = 0.5) -> DataFrame:
-    """One row per `host`: its equivalence classes, as `template`, an array of (token, class).
+    """One row per `host`: its equivalence classes, as `template`, an array of (token, class, once).
 
     `pages` has `host`, `page` (a number for each page) and `html`. Tokens of a host are in
     one class if they have the same occurrence vector: how often each page has them. A
     vector is known by its number of pages and two sums of hashes of page and count, which
     are put together before the shuffle; so no task sees a host's pages, however many. Kept
     are classes of two tokens or more (those of the page itself included) in at least
-    `least_pages` pages and `support` of the host's. Such tokens are at most 1 / `support`
-    times as many as an average page has.
+    `least_pages` pages and `support` of the host's; `once` tells those that no page has
+    twice. Such tokens are at most 1 / `support` times as many as an average page has. A
+    class of texts alone is none: they fill a slot (see `slot_texts`).
     """
     def sum_of(seed: int) -> Column:
         return F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit(1 << 31)))
@@ -57,83 +61,149 @@ def classes(pages: DataFrame, least_pages: int = 10, support: float = 0.5) -> Da
     rows = pages.select("host", "page", "html").mapInArrow(
         _occurrences, "host string, token long, n long, page long")
     tokens = materialize(rows.groupBy("host", "token").agg(
-        F.count("*").alias("pages"), sum_of(1).alias("one"), sum_of(2).alias("two")).filter(
+        F.count("*").alias("pages"), F.max("n").alias("most"), sum_of(1).alias("one"), sum_of(2).alias("two")).filter(
         F.col("pages") >= least_pages), "tokens")
     hosts = tokens.filter(F.col("token") == PAGE).select("host", F.col("pages").alias("all"))
     often = tokens.join(hosts, "host").filter(F.col("pages") >= support * F.col("all"))
     found = often.groupBy("host", "pages", "one", "two").agg(
-        F.collect_list("token").alias("tokens"), F.min("token").alias("name")).filter(F.size("tokens") > 1)
-    return materialize(found.select("host", "name", F.explode("tokens").alias("token")).groupBy("host").agg(
-        F.collect_list(F.struct("token", "name")).alias("template")), "templates")
+        F.collect_list("token").alias("tokens"), F.min("token").alias("name"),
+        (F.max("most") == 1).alias("once")).filter(
+        (F.size("tokens") > 1) & F.exists("tokens", lambda t: t.bitwiseAND(F.lit(1)) == 0))
+    return materialize(found.select("host", "name", "once", F.explode("tokens").alias("token")).groupBy("host").agg(
+        F.collect_list(F.struct("token", "name", "once")).alias("template")), "templates")
 
 
 def template_of(tokens: list[int], classes_: dict[int, int]) -> frozenset[int]:
     """The tokens of the classes that are valid in a page, nested in each other.
 
     A class is valid if its tokens come in one order, over and over: between two of them lie
-    the slots. Of the others, a class is nested in a valid one if each of its turns lies in
-    one slot; a class that straddles is given up.
+    the slots. One that comes over and over is nested in those that come once if each of its
+    turns lies in one slot of theirs; a class that straddles is given up. Texts in a turn
+    fill it and are no border.
     """
     places: dict[int, list[tuple[int, int]]] = {}
     for at, token in enumerate(tokens):
         if token in classes_:
             places.setdefault(classes_[token], []).append((at, token))
     taken: set[int] = set()
-    borders: list[list[int]] = []
-    for _, own in sorted(places.items(), key=lambda x: (len(x[1]), x[1][0])):
+    marks: list[int] = []
+    again: list[tuple[list[int], list[int], list[int]]] = []
+    for own in places.values():
         order = list(dict.fromkeys(token for _, token in own))
         turns, rest = divmod(len(own), len(order))
         if rest or [token for _, token in own] != order * turns:
             continue
-        first = [own[i * len(order)][0] for i in range(turns)]
-        last = [own[(i + 1) * len(order) - 1][0] for i in range(turns)]
-        if turns > 1 and not _nested(first, last, borders):
-            continue
-        borders.append([at for at, _ in own])
-        taken.update(order)
+        if turns == 1:
+            taken.update(order)
+            marks += [at for at, token in own if not is_text(token)]
+        else:
+            again.append((order, [own[i * len(order)][0] for i in range(turns)],
+                          [own[(i + 1) * len(order) - 1][0] for i in range(turns)]))
+    marks.sort()
+    for order, first, last in again:
+        if all(bisect_left(marks, low) == bisect_left(marks, high) for low, high in zip(first, last, strict=True)):
+            taken.update(order)
     return frozenset(taken)
 
 
-def _nested(first: list[int], last: list[int], borders: list[list[int]]) -> bool:
-    """Whether no border of the page's own class lies inside a turn."""
-    if not borders:
-        return True
-    marks = borders[0]
-    inside = 0
-    for low, high in zip(first, last, strict=True):
-        while inside < len(marks) and marks[inside] < low:
-            inside += 1
-        if inside < len(marks) and marks[inside] < high:
-            return False
-    return True
+def slots_of(tokens: list[int], fixed: frozenset[int], once: frozenset[int]) -> list[int]:
+    """For each text of a page the slot that it fills, named by the tags of the template before it.
+
+    These are the last tag that pages have once and the last one of any class, so that turns
+    of a class are told apart by where in the page they are.
+    """
+    out, outer, inner = [], PAGE, PAGE
+    for token in tokens:
+        if is_text(token):
+            out.append((outer * 3 + inner) % (1 << 61))
+        elif token in fixed:
+            inner = token
+            outer = token if token in once else outer
+    return out
+
+
+def _filling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "html"):
+            rows: list[tuple[str, int, int, int]] = []
+            for host, source, template in zip(*(part.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
+                tokens = parse(source).tokens
+                if not tokens:
+                    continue
+                slots = slots_of(tokens, *_known(tokens, template)[1:])
+                filled = dict.fromkeys(zip(slots, filter(is_text, tokens), strict=True))
+                sizes = Counter(slot for slot, _ in filled)
+                rows += [(host, slot, text, WEIGHT // sizes[slot]) for slot, text in filled]
+                rows += [(host, slot, PAGE, 0) for slot in sizes]
+                rows.append((host, -1, PAGE, 0))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])],
+                ["host", "slot", "text", "weight"])
+
+
+def slot_texts(pages: DataFrame, least_pages: int = 10, support: float = 0.5, own: float = 0.1) -> DataFrame:
+    """One row per `host`: `common`, an array of (slot, text), the texts in its slots that are template.
+
+    `pages` has `host`, `html` and the `template` of the host. A text is common if
+    `least_pages` pages and `support` of the host's have it in the slot. A slot is the
+    article's if texts that are not common are `own` of what its pages fill it with, so that
+    it differs between pages: common texts of such a slot may be copied passages, and are
+    template only if less than `own` of the pages lack them. In other slots all common texts
+    are template, and other texts are the page's.
+    """
+    found = pages.mapInArrow(_filling, "host string, slot long, text long, weight long").groupBy(
+        "host", "slot", "text").agg(F.count("*").alias("pages"), F.sum("weight").alias("weight"))
+    found = materialize(found, "slots")
+    hosts = found.filter("slot = -1").select("host", F.col("pages").alias("all"))
+    text = F.col("text") != PAGE
+    common = text & (F.col("pages") >= support * F.col("all")) & (F.col("pages") >= least_pages)
+    slots = found.filter("slot <> -1").join(hosts, "host").groupBy("host", "slot", "all").agg(
+        F.sum(F.when(text & ~common, F.col("weight")).otherwise(0)).alias("differs"),
+        F.sum(F.when(~text, F.col("pages"))).alias("filled"),
+        F.collect_list(F.when(common, F.struct("text", "pages"))).alias("texts"))
+    article = F.col("differs") >= own * WEIGHT * F.col("filled")
+    texts = slots.select("host", "slot", "all", article.alias("article"), F.explode("texts").alias("x")).filter(
+        ~F.col("article") | (F.col("x.pages") > (1 - own) * F.col("all")))
+    return materialize(texts.groupBy("host").agg(
+        F.collect_list(F.struct("slot", F.col("x.text").alias("text"))).alias("common")), "common")
+
+
+def _known(tokens: list[int], template: list[dict] | None) -> tuple[dict[int, int], frozenset[int], frozenset[int]]:
+    """The classes of a host, the tokens of those that are valid in a page, and which come once."""
+    known = {x["token"]: x["name"] for x in template or ()}
+    return known, template_of(tokens, known), frozenset(x["token"] for x in template or () if x["once"])
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
             texts = []
-            for source, template in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
+            for source, template, common in zip(*(part.column(c).to_pylist() for c in ("html", "template", "common")), strict=True):
                 page = parse(source)
-                known = {x["token"]: x["name"] for x in template or ()}
-                fixed = template_of(page.tokens, known)
+                known, fixed, once = _known(page.tokens, template)
+                shared = {(x["slot"], x["text"]) for x in common or ()}
+                slots = slots_of(page.tokens, fixed, once)
+                for slot, piece in zip(slots, (p for p in page.pieces if p.token), strict=True):
+                    piece.common = (slot, piece.token) in shared
                 texts.append(main_text(page, frozenset(t for t in fixed if known[t] == PAGE)))
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string())],
-                                             [*part.schema.names[2:], "text"])
+            yield pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(texts, pa.string())],
+                                             [*part.schema.names[3:], "text"])
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
-            least_pages: int = 10, support: float = 0.5) -> DataFrame:
+            least_pages: int = 10, support: float = 0.5, own: float = 0.1) -> DataFrame:
     """One row per page: its id, url, `text` and `n_chars`.
 
     The text is the article without menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles, markup and comments: character references are decoded, white
-    space inside a block is one space, and blocks are joined by line breaks. Tags and texts
-    that the pages of a host share in the same numbers are its template (see `classes` and
-    `template_of`); what the slots between them hold is the page's own. A text is template
-    if every page of the host has it once; one that comes again on some pages may be part
-    of copied articles. Slots that are no article are known by the elements, roles and class
-    names around them. If a page has an `article` or `main` element, only what stands in
-    one counts.
+    space inside a block is one space, and blocks are joined by line breaks. Tags that
+    the pages of a host share in the same numbers are its template, on some of the pages or
+    all (see `classes` and `template_of`); the slots between them hold the texts. Slots whose
+    texts differ between pages are the article's; texts that come again in other slots are
+    template (see `slot_texts`), as are those that every page has once. Of slots that
+    differ, those that are no article are known by the elements, roles and class names around
+    them. If a page has an `article` or `main` element, only what stands in one counts.
 
     NULL pages are empty and have the empty text. NULL urls are one host, without a name.
     Hosts with less than `least_pages` pages have no template. Repeated rows are each given.
@@ -144,8 +214,10 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
                         F.col(id_column).alias("key"), F.col(url_column).alias("address"))
     numbered = rows.select("host", "html", F.xxhash64("key", "address", "html").alias("page"))
     templates = classes(numbered, least_pages, support)
+    common = slot_texts(numbered.join(templates, "host").select("host", "html", "template"), least_pages, support, own)
     kind = rows.schema["key"].dataType.simpleString()
-    joined = rows.join(templates, "host", "left").select("html", "template", "key", "address")
+    joined = rows.join(templates.join(common, "host", "left"), "host", "left").select(
+        "html", "template", "common", "key", "address")
     return joined.mapInArrow(_extracting, f"key {kind}, address string, text string").select(
         F.col("key").alias(id_column), F.col("address").alias(url_column), "text",
         F.length("text").cast("long").alias("n_chars"))

@@ -51,6 +51,7 @@ class Piece:
     block: int
     dropped: int
     main: bool
+    common: bool = False
 
 
 @dataclass
@@ -62,7 +63,12 @@ class Page:
 
 
 def _token(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\0".join(parts)) >> 1
+    """The token of a tag: an even number."""
+    return xxhash.xxh64_intdigest("\0".join(parts)) >> 2 << 1
+
+
+def is_text(token: int) -> bool:
+    return token & 1 == 1
 
 
 def _words(names: str) -> set[str]:
@@ -105,7 +111,7 @@ def parse(source: str) -> Page:
             raw = m[0]
             name, path, dropped, main = stack[-1]
             text = " ".join(html.unescape(raw).split())
-            token = _token(path, text) if text else 0
+            token = _token(path, text) + 1 if text else 0
             if text:
                 page.tokens.append(token)
             page.pieces.append(Piece(token, html.unescape(raw), block, dropped, main))
@@ -146,14 +152,16 @@ def main_text(page: Page, template: frozenset[int]) -> str:
     """The blocks of the article, one a line: what fills the slots of the template.
 
     With an `article` or `main` element only what stands in one counts; else all that is
-    not dropped. A page whose texts are all template, as copies of one article may be, keeps
-    them.
+    not dropped. Pieces that are `common` in their slots are left out too. A page that has no
+    other texts, as copies of one article may be, keeps them, and one whose texts are all
+    template keeps those.
     """
     pieces = [p for p in page.pieces if not p.dropped]
     inside = [p for p in pieces if p.main]
     if any(p.text.strip() for p in inside):
         pieces = inside
-    return _joined([p for p in pieces if p.token not in template]) or _joined(pieces)
+    own = [p for p in pieces if p.token not in template]
+    return _joined([p for p in own if not p.common]) or _joined(own) or _joined(pieces)
 
 
 def _joined(pieces: list[Piece]) -> str:
