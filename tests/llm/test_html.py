@@ -46,6 +46,24 @@ def test_parse(source, want):
     assert text_of(source) == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<article><h2 id=related-work>Related work</h2><section id=social-impact><p>a</p></section><p id=search>b</p></article>",
+     "Related work\na\nb"),
+    ("<main><div class=form-of-government>a</div><h2 class=notice>T</h2><h3 class=share>U</h3></main>", "a\nT\nU"),
+    ("<article>a<div class='x share'>no</div><div class=cookie-notice>no</div><div class=ad-2>no</div></article>", "a"),
+    ("<div class='site cookie-consent-active'><article><p>a</p></article><p>out</p></div>", "a"),
+    ("<div class='site cookie-consent-active'><article>a</article><div class=related-posts><article>no</article></div></div>", "a"),
+    ("<div class=related-posts><article>no</article></div><article>a</article>", "a"),
+    ("<div class=newsletter><article>no</article></div><p>a</p>", "a"),
+    ("<div class='site promo'><article>a<aside>no</aside></article><div class=share>no</div></div>", "a"),
+    ("<div id=comments>no</div>", ""),
+    ("<div class='site-sidebar share-on'><div class=sidebar><article>a</article></div></div>", "a"),
+    ("<div class='site cookie-consent-active'><p>a</p><div class=cookie-notice>no</div></div>", "a"),
+])
+def test_parts_of_names_do_not_drop_articles(source, want):
+    assert text_of(source) == want
+
+
 def test_long_odd_pages_end_soon():
     assert len(text_of("<p " + "x='" * 30_000)) > 1
     assert text_of("<div>" * 3000 + "x" + "</div>" * 3000) == "x"

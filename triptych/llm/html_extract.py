@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,7 +45,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(pages: DataFrame, least_pages: int = 10, support: float = 0.5) -> DataFrame:
-    """One row per `host`: its equivalence classes, as `template`, an array of (token, class, once).
+    """One row per `host`: its equivalence classes, as `template`, an array of (token, class, once),
+    and `all`, its number of pages that are not empty.
 
     `pages` has `host`, `page` (a number for each page) and `html`. Tokens of a host are in
     one class if they have the same occurrence vector: how often each page has them. A
@@ -67,10 +69,10 @@ def classes(pages: DataFrame, least_pages: int = 10, support: float = 0.5) -> Da
     often = tokens.join(hosts, "host").filter(F.col("pages") >= support * F.col("all"))
     found = often.groupBy("host", "pages", "one", "two").agg(
         F.collect_list("token").alias("tokens"), F.min("token").alias("name"),
-        (F.max("most") == 1).alias("once")).filter(
+        (F.max("most") == 1).alias("once"), F.max("all").alias("all")).filter(
         (F.size("tokens") > 1) & F.exists("tokens", lambda t: t.bitwiseAND(F.lit(1)) == 0))
-    return materialize(found.select("host", "name", "once", F.explode("tokens").alias("token")).groupBy("host").agg(
-        F.collect_list(F.struct("token", "name", "once")).alias("template")), "templates")
+    return materialize(found.select("host", "name", "once", "all", F.explode("tokens").alias("token")).groupBy("host").agg(
+        F.collect_list(F.struct("token", "name", "once")).alias("template"), F.max("all").alias("all")), "templates")
 
 
 def template_of(tokens: list[int], classes_: dict[int, int]) -> frozenset[int]:
@@ -122,43 +124,61 @@ def slots_of(tokens: list[int], fixed: frozenset[int], once: frozenset[int]) ->
     return out
 
 
+class Hosts:
+    """What is made of a column's lists, one per host, which are not read again for each page."""
+
+    def __init__(self, make: Callable[[list[dict]], Any], most: int = 256):
+        self.make, self.most = make, most
+        self.held: dict[str, Any] = {}
+
+    def of(self, host: str, column: pa.Array, row: int) -> Any:
+        if host not in self.held:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            self.held[host] = self.make(column[row].as_py() or [])
+        return self.held[host]
+
+
+def _known(template: list[dict]) -> tuple[dict[int, int], frozenset[int]]:
+    """The classes of a host, and the tokens that come once."""
+    return {x["token"]: x["name"] for x in template}, frozenset(x["token"] for x in template if x["once"])
+
+
 def _filling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    templates = Hosts(_known)
     for batch in batches:
         for part in slices(batch, "html"):
-            rows: list[tuple[str, int, int, int]] = []
-            for host, source, template in zip(*(part.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
+            rows: list[tuple[str, int, int, int, int]] = []
+            for i, (host, source, pages) in enumerate(zip(*(part.column(c).to_pylist() for c in ("host", "html", "all")), strict=True)):
                 tokens = parse(source).tokens
-                if not tokens:
-                    continue
-                slots = slots_of(tokens, *_known(tokens, template)[1:])
+                known, once = templates.of(host, part.column("template"), i)
+                slots = slots_of(tokens, template_of(tokens, known), once)
                 filled = dict.fromkeys(zip(slots, filter(is_text, tokens), strict=True))
                 sizes = Counter(slot for slot, _ in filled)
-                rows += [(host, slot, text, WEIGHT // sizes[slot]) for slot, text in filled]
-                rows += [(host, slot, PAGE, 0) for slot in sizes]
-                rows.append((host, -1, PAGE, 0))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
+                rows += [(host, slot, text, WEIGHT // sizes[slot], pages) for slot, text in filled]
+                rows += [(host, slot, PAGE, 0, pages) for slot in sizes]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])],
-                ["host", "slot", "text", "weight"])
+                ["host", "slot", "text", "weight", "all"])
 
 
 def slot_texts(pages: DataFrame, least_pages: int = 10, support: float = 0.5, own: float = 0.1) -> DataFrame:
     """One row per `host`: `common`, an array of (slot, text), the texts in its slots that are template.
 
-    `pages` has `host`, `html` and the `template` of the host. A text is common if
+    `pages` has `host`, `html`, and the `template` and `all` of the host. A text is common if
     `least_pages` pages and `support` of the host's have it in the slot. A slot is the
     article's if texts that are not common are `own` of what its pages fill it with, so that
     it differs between pages: common texts of such a slot may be copied passages, and are
     template only if less than `own` of the pages lack them. In other slots all common texts
     are template, and other texts are the page's.
     """
-    found = pages.mapInArrow(_filling, "host string, slot long, text long, weight long").groupBy(
-        "host", "slot", "text").agg(F.count("*").alias("pages"), F.sum("weight").alias("weight"))
-    found = materialize(found, "slots")
-    hosts = found.filter("slot = -1").select("host", F.col("pages").alias("all"))
+    found = pages.mapInArrow(_filling, "host string, slot long, text long, weight long, all long").groupBy(
+        "host", "slot", "text").agg(F.count("*").alias("pages"), F.sum("weight").alias("weight"), F.max("all").alias("all"))
     text = F.col("text") != PAGE
     common = text & (F.col("pages") >= support * F.col("all")) & (F.col("pages") >= least_pages)
-    slots = found.filter("slot <> -1").join(hosts, "host").groupBy("host", "slot", "all").agg(
+    slots = found.groupBy("host", "slot").agg(
+        F.max("all").alias("all"),
         F.sum(F.when(text & ~common, F.col("weight")).otherwise(0)).alias("differs"),
         F.sum(F.when(~text, F.col("pages"))).alias("filled"),
         F.collect_list(F.when(common, F.struct("text", "pages"))).alias("texts"))
@@ -169,26 +189,23 @@ def slot_texts(pages: DataFrame, least_pages: int = 10, support: float = 0.5, ow
         F.collect_list(F.struct("slot", F.col("x.text").alias("text"))).alias("common")), "common")
 
 
-def _known(tokens: list[int], template: list[dict] | None) -> tuple[dict[int, int], frozenset[int], frozenset[int]]:
-    """The classes of a host, the tokens of those that are valid in a page, and which come once."""
-    known = {x["token"]: x["name"] for x in template or ()}
-    return known, template_of(tokens, known), frozenset(x["token"] for x in template or () if x["once"])
-
-
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    templates = Hosts(_known)
+    commons = Hosts(lambda common: {(x["slot"], x["text"]) for x in common})
     for batch in batches:
         for part in slices(batch, "html"):
             texts = []
-            for source, template, common in zip(*(part.column(c).to_pylist() for c in ("html", "template", "common")), strict=True):
+            for i, (source, host) in enumerate(zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True)):
                 page = parse(source)
-                known, fixed, once = _known(page.tokens, template)
-                shared = {(x["slot"], x["text"]) for x in common or ()}
+                known, once = templates.of(host, part.column("template"), i)
+                shared = commons.of(host, part.column("common"), i)
+                fixed = template_of(page.tokens, known)
                 slots = slots_of(page.tokens, fixed, once)
                 for slot, piece in zip(slots, (p for p in page.pieces if p.token), strict=True):
                     piece.common = (slot, piece.token) in shared
                 texts.append(main_text(page, frozenset(t for t in fixed if known[t] == PAGE)))
-            yield pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(texts, pa.string())],
-                                             [*part.schema.names[3:], "text"])
+            yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(texts, pa.string())],
+                                             [*part.schema.names[4:], "text"])
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
@@ -214,10 +231,11 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
                         F.col(id_column).alias("key"), F.col(url_column).alias("address"))
     numbered = rows.select("host", "html", F.xxhash64("key", "address", "html").alias("page"))
     templates = classes(numbered, least_pages, support)
-    common = slot_texts(numbered.join(templates, "host").select("host", "html", "template"), least_pages, support, own)
+    common = slot_texts(numbered.join(templates, "host").select("host", "html", "template", "all"),
+                        least_pages, support, own)
     kind = rows.schema["key"].dataType.simpleString()
     joined = rows.join(templates.join(common, "host", "left"), "host", "left").select(
-        "html", "template", "common", "key", "address")
+        "html", "host", "template", "common", "key", "address")
     return joined.mapInArrow(_extracting, f"key {kind}, address string, text string").select(
         F.col("key").alias(id_column), F.col("address").alias(url_column), "text",
         F.length("text").cast("long").alias("n_chars"))

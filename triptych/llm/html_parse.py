@@ -30,8 +30,9 @@ DROPPED_NAMES = LAYOUT_NAMES | frozenset(
 MAIN = frozenset(["article", "main"])
 # A class that begins so tells what the page has around the element, or has not.
 ABOUT = frozenset(["has", "with", "no", "without"])
-# How an element is dropped: not, by the name of its layout alone, or for good.
-NOT, LAYOUT, GONE = range(3)
+# How an element is dropped: not, by the name of its layout alone, by a part of a name or a whole one (in so many elements),
+# or for good.
+NOT, LAYOUT, LOOSE, NAMED, GONE = 0, 1, 2, 1 << 16, 1 << 40
 # What an opening element ends, if it is open.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th"), "option": ("option",)}
@@ -39,6 +40,7 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+TITLE = re.compile("h[1-6]")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -71,14 +73,24 @@ def is_text(token: int) -> bool:
     return token & 1 == 1
 
 
-def _words(names: str) -> set[str]:
-    """The words of class names or ids, but of those that tell about the page."""
+def _names(names: str) -> list[list[str]]:
+    """The words of each class name or id, but of those that tell about the page."""
     parts = ([p.lower() for p in PART.findall(name)] for name in names.split())
-    return {word for own in parts if own and own[0] not in ABOUT for word in own}
+    return [own for own in parts if own and own[0] not in ABOUT]
+
+
+def _blocks(names: str) -> set[str]:
+    """The words of names that are known blocks as a whole: one word, or several that each say so; digits do not count."""
+    whole = ([word for word in own if not word.isdigit()] for own in _names(names))
+    return {word for own in whole if DROPPED_NAMES.issuperset(own) for word in own}
 
 
 def _dropped(name: str, attributes: str, in_main: bool) -> tuple[int, str]:
-    """Whether an element is no part of an article, and what tells it from others of its name."""
+    """Whether an element is no part of an article, and what tells it from others of its name.
+
+    In the main part a class must name a known block as a whole; ids, and names of headings,
+    say nothing there. Elsewhere a part of a name is enough, if no article is inside.
+    """
     if name in DROPPED or name == "header" and not in_main:
         return GONE, name
     if not attributes.strip():
@@ -90,10 +102,21 @@ def _dropped(name: str, attributes: str, in_main: bool) -> tuple[int, str]:
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or roles & DROPPED_ROLES or re.search(
             r"display\s*:\s*none", found.get("style", ""), re.I):
         return GONE, label
-    words = set() if name in ("body", "html") else _words(names) & DROPPED_NAMES
+    if name in ("body", "html"):
+        return NOT, label
     if in_main or name in MAIN:
-        words -= HEADINGS
-    return (NOT if not words else LAYOUT if words <= LAYOUT_NAMES else GONE), label
+        known = not TITLE.fullmatch(name) and _blocks(found.get("class", "")) - HEADINGS
+        return (GONE if known else NOT), label
+    words = {word for own in _names(names) for word in own} & DROPPED_NAMES
+    return (NOT if not words else LAYOUT if words <= LAYOUT_NAMES
+            else NAMED if _blocks(names) - LAYOUT_NAMES else LOOSE), label
+
+
+def _within(dropped: int, own: int) -> int:
+    """How an element is dropped in another."""
+    if GONE in (dropped, own):
+        return GONE
+    return dropped | own if LAYOUT in (dropped, own) else dropped + own
 
 
 def parse(source: str) -> Page:
@@ -134,15 +157,15 @@ def parse(source: str) -> Page:
                 deep -= 1
         _, path, dropped, main = stack[-1]
         own, label = _dropped(name, m[3], main)
-        if name in MAIN and dropped == LAYOUT:
-            dropped = NOT
+        if name in MAIN:
+            dropped &= ~LAYOUT
         inner = path if name in INLINE else f"{path}/{label}"
         page.tokens.append(_token(inner, name))
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
             at = end.start() if end else len(source)
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, inner, max(dropped, own), main or name in MAIN or 'role="main"' in m[3]))
+            stack.append((name, inner, _within(dropped, own), main or name in MAIN or 'role="main"' in m[3]))
         elif name in RAW:
             stack.append((name, inner, GONE, main))
     return page
@@ -152,14 +175,18 @@ def main_text(page: Page, template: frozenset[int]) -> str:
     """The blocks of the article, one a line: what fills the slots of the template.
 
     With an `article` or `main` element only what stands in one counts; else all that is
-    not dropped. Pieces that are `common` in their slots are left out too. A page that has no
+    not dropped. If all such elements, or all texts, stand in elements of which a part of a
+    name is that of a block, those in the fewest of them count: then it is a name of the
+    page. So does an `article` or `main` in an element that is called a block as a whole, if the
+    page has nothing else. Pieces that are `common` in their slots are left out too. A page that has no
     other texts, as copies of one article may be, keeps them, and one whose texts are all
     template keeps those.
     """
-    pieces = [p for p in page.pieces if not p.dropped]
-    inside = [p for p in pieces if p.main]
-    if any(p.text.strip() for p in inside):
-        pieces = inside
+    filled = [p for p in page.pieces if p.dropped < GONE and not p.dropped & LAYOUT and p.text.strip()]
+    filled = [p for p in filled if p.dropped < NAMED] or [p for p in filled if p.main]
+    inside = any(p.main for p in filled)
+    least = min((p.dropped for p in filled if p.main or not inside), default=NOT)
+    pieces = [p for p in page.pieces if p.dropped == least and (p.main or not inside)]
     own = [p for p in pieces if p.token not in template]
     return _joined([p for p in own if not p.common]) or _joined(own) or _joined(pieces)
 
