@@ -62,6 +62,15 @@ def test_language_of_odd_rows(make_docs):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_copies_come_into_the_sample_once(make_docs, monkeypatch):
+    rows = [(i * 100 + k, f"text {i} of many words", "en") for i in range(40) for k in range(20)]
+    given = {}
+    monkeypatch.setattr(language_id, "fit", lambda languages, spectra, landmarks: given.update(
+        languages=languages, texts={s.tobytes() for s in spectra}))
+    language_id.train(make_docs(rows), per_language=30)
+    assert given["languages"] == ["en"] * 30 and len(given["texts"]) == 30
+
+
 @given
 def test_held_out_languages(spark):
     got = queries.op4_language_id(spark, SMALL)

@@ -126,15 +126,16 @@ def train(docs: DataFrame, text_column: str = "text", language_column: str = "la
           per_language: int = 256, landmarks: int = 32, seed: int = 42) -> LanguageModel | None:
     """A model of the labelled rows of `docs`; None if there are none.
 
-    It is fitted on at most `per_language` rows of each language, chosen by a hash of their
-    text; the driver gets their sets of n-grams (at most 4 MB each, usually some KB). Rows
+    It is fitted on at most `per_language` distinct texts of each language, chosen by a hash
+    of the text, so that copies count once; the driver gets their sets of n-grams (at most 4 MB each, usually some KB). Rows
     without text, letter or language are left out. The languages must be few enough to be
     listed.
     """
     rows = docs.select(whole_text(text_column).alias("text"), F.col(language_column).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn(
         "spot", F.xxhash64(F.lit(seed), "text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "spot").distinct().groupBy("lang").agg(
+        F.count("*").alias("n")).collect()}
     if not counts:
         return None
     # Enough for `per_language`, and few enough to be put in order.
@@ -142,7 +143,8 @@ def train(docs: DataFrame, text_column: str = "text", language_column: str = "la
         name, min(1.0, (2 * per_language + 50) / n))))
     fraction = F.pmod("spot", F.lit(1 << 30)) / float(1 << 30)
     some = rows.filter(fraction < F.get(F.map_values(F.map_filter(rate, lambda k, v: k == F.col("lang"))), F.lit(0)))
-    order = Window.partitionBy("lang").orderBy(fraction, "spot", "text")
+    some = some.groupBy("lang", "spot").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(fraction, "spot")
     some = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
     sample = some.select("text", "lang", "spot").mapInArrow(_spectra, "lang string, spot long, grams binary").toPandas()
     sample = sample.sort_values(["lang", "spot"], kind="stable")
