@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across documents, by names for runs and pairs of words."""
+"""Removal of passages that repeat across documents, by minimizers at borders of runs and pairs of words, and window hashes."""
 
 from __future__ import annotations
 
@@ -76,7 +76,9 @@ class WordNames:
 
 
 def borders(names: np.ndarray) -> np.ndarray:
-    """Where a symbol begins after a round of recompression: runs of one name, then pairs, become one symbol.
+    """Where a symbol would begin after a round of recompression: runs of one name, then pairs, become one symbol.
+
+    No symbol is put in their place: only the borders are used.
 
     Names are dealt into left and right ones; a left one and a right one after it are a pair.
     Whether there is a border depends on the two names beside it alone, so equal stretches
@@ -274,11 +276,11 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     after all others. Other columns are not carried.
 
     1. Documents of the same words are known by one hash; all but the smallest id go whole.
-    2. A round of recompression names runs and pairs of words, which gives every stretch
-       borders that depend on the words beside them alone. Each window is known by a name of
-       `reveal` words at one of its borders, about one name for four words; names that
+    2. A round of recompression would name runs and pairs of words; it only gives every
+       stretch borders that depend on the words beside them alone. Each window is known by
+       its minimizer, the least hash of `reveal` words at one of its borders, about one for four words; those that
        several documents have reveal where repeats may be.
-    3. There, windows are named by pairs of pairs of words, in 96 bits; where equal names
+    3. There, windows are hashed by pairs of pairs of words, in 96 bits; where equal names
        meet, all but the smallest id are repeats.
     4. Documents with repeats are read once more and lose their words.
 
