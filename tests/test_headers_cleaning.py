@@ -49,6 +49,12 @@ def test_ordinals_are_exact_for_any_layout(spark):
     assert with_ordinal(df.filter("a > 99"), ["a", "b"]).count() == 0
 
 
+def test_ordinals_of_equal_rows_are_an_error(spark):
+    for rows in ([(1, "x"), (1, "y"), (2, "z")], [(None, "x"), (None, "y")]):
+        with pytest.raises(Exception, match="several rows have one place"):
+            with_ordinal(spark.createDataFrame(rows, "a int, b string"), ["a"]).collect()
+
+
 def test_ordinals_need_no_task_with_every_row(spark):
     df = with_ordinal(spark.range(1000).repartition(4), ["id"])
     plan = df._jdf.queryExecution().executedPlan().toString()

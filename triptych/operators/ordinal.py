@@ -37,7 +37,7 @@ def with_input_ordinal(df: DataFrame, file: str, block: str, name: str = "seg_id
 
 
 def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "seg_id") -> DataFrame:
-    """Add the 0-based position of each row in `order`, which must be unique.
+    """Add the 0-based position of each row in `order`, which must be unique: rows with equal values stop the job.
 
     The order is sorted over many partitions and written once, without the other
     columns, each row with its place in its partition. Partition sizes, one row
@@ -58,5 +58,8 @@ def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "seg_
     place = F.col(_SLOT).bitwiseAND(F.lit((1 << _PART_BITS) - 1))
     places = (placed.withColumn(_PART, part).join(F.broadcast(starts), _PART)
               .select(*(F.col(c).alias(f"{c}p") for c in names), (F.col(_BEFORE) + place).alias(name)))
+    places = places.groupBy(*(f"{c}p" for c in names)).agg(F.min(name).alias("_least"), F.count("*").alias("_rows"))
+    places = places.select(*(f"{c}p" for c in names), F.when(F.col("_rows") == 1, F.col("_least")).otherwise(
+        F.raise_error(F.lit("several rows have one place in the order")).cast("long")).alias(name))
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}p")) for c in names))
     return named.join(places, same).select(*(c for c in df.columns if c != name), name)
