@@ -71,6 +71,18 @@ def test_copies_come_into_the_sample_once(make_docs, monkeypatch):
     assert given["languages"] == ["en"] * 30 and len(given["texts"]) == 30
 
 
+def test_repeated_ids_are_within_the_sample(spark, make_docs, monkeypatch):
+    docs = make_docs([(7, f"text {i // 20} of words", "en") for i in range(800)] + [(i, f"other {i}", "en") for i in range(8, 12)])
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0), (9, 1)], "doc_id long, quality int")
+    given = {}
+    monkeypatch.setattr(quality, "fit", lambda samples, labels, seed: given.update(
+        texts={a.tobytes() for a, _ in samples}, n=len(labels)))
+    quality.train(docs, labels)
+    assert given["n"] == len(given["texts"]) == 42
+    quality.train(docs, labels, sample_rows=15)
+    assert given["n"] == len(given["texts"]) == 15
+
+
 @given
 def test_held_out_languages(spark):
     got = queries.op4_language_id(spark, SMALL)

@@ -167,15 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
           label_column: str = "quality", sample_rows: int = 3000, seed: int = 42) -> QualityModel | None:
     """A model of the rows of `docs` that `labels` gives 0 or 1; None if there are none.
 
-    It is fitted on at most `sample_rows` rows, the first by a hash of their id; the driver
-    gets their feature counts (at most 512 KB each, usually some KB). Other labels, NULL
-    ids and ids without a document are left out.
+    It is fitted on at most `sample_rows` rows, the first by a hash of their id, and of their
+    text where an id has several; the driver gets their feature counts (at most 512 KB each,
+    usually some KB). Rows of one id, text and label count once. Other labels, NULL ids and
+    ids without a document are left out.
     """
     chosen = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).orderBy(
+        F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).distinct().orderBy(
         F.xxhash64(F.lit(seed), "id"), "id", "label").limit(sample_rows)
     rows = docs.select(whole_text(text_column).alias("text"), F.col(id_column).alias("key")).join(
         F.broadcast(chosen), F.col("key") == F.col("id"))  # at most `sample_rows` ids
+    rows = rows.groupBy("key", "label", F.xxhash64("text").alias("print")).agg(F.min("text").alias("text")).orderBy(
+        F.xxhash64(F.lit(seed), "key"), "key", "label", "print").limit(sample_rows)
     found = rows.select("text", "label", "key").mapInArrow(
         _counting, "label int, found binary, counts binary").toPandas()
     if not len(found):
