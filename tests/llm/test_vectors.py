@@ -1,0 +1,123 @@
+"""Nearest neighbours and whitening against brute force."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from triptych.llm import ann_forest, whitening
+
+VECS = "vec_id long, embedding array<float>, label int, key string, x string"
+
+
+def exact_nearest(rows, queries, k):
+    ok = [(i, np.asarray(v, float)) for i, v in rows
+          if v is not None and len(v) and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    lengths = [len(v) for _, v in ok]
+    dim = max(set(lengths), key=lambda d: (lengths.count(d), -d))
+    ok = [(i, v) for i, v in ok if len(v) == dim]
+    out = {}
+    for q in queries:
+        asked = sorted((v for i, v in ok if i == q), key=list)
+        if not asked:
+            continue
+        near = sorted((float(np.sqrt(((asked[0] - v) ** 2).sum())), i) for i, v in ok if i != q)
+        out[q] = near[:k]
+    return out
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in rng.standard_normal(8).astype(np.float32)]) for i in range(300)]
+    rows += [(1000 + i, [0.5] * 8) for i in range(120)]  # a hot vector: many copies
+    rows += [(2000, None), (2001, [0.0] * 8), (2002, [1.0, None] + [0.0] * 6), (2003, [float("nan")] * 8),
+             (2004, [float("inf")] + [1.0] * 7), (2005, [1.0] * 3), (2006, [])]
+    rows += [(3000, rows[5][1]), (3000, rows[5][1])]  # a repeated id and row
+    frame = spark.createDataFrame([(i, v, 0, "clash", "y") for i, v in rows], VECS).repartition(3)
+    return rows, frame
+
+
+def test_nearest_against_brute_force(odd_vectors):
+    rows, frame = odd_vectors
+    queries = [i for i, _ in rows if i % 10 == 0]
+    got = ann_forest.nearest(frame, F.col("vec_id") % 10 == 0, k=10, trees=4, leaf_size=8, search_k=10_000).toPandas()
+    exact = exact_nearest(rows, queries, 10)
+    assert set(got.query_id) == set(exact)
+    for q, near in exact.items():
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, len(near) + 1))
+        assert list(mine.vec_id) == [i for _, i in near]
+        assert np.allclose(mine.score, [d for d, _ in near], rtol=1e-12, atol=1e-12)
+
+
+def test_nearest_recall_with_a_small_search(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 16)) * 4
+    data = centres[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 16))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(data.astype(np.float32))]
+    frame = spark.createDataFrame([(i, v, 0, "a", "b") for i, v in rows], VECS)
+    got = ann_forest.nearest(frame, F.col("vec_id") % 50 == 0, k=10, trees=8, leaf_size=16,
+                             sample_rows=1000, search_k=600).toPandas()
+    exact = exact_nearest(rows, [i for i, _ in rows if i % 50 == 0], 10)
+    hits = sum(len({i for _, i in near} & set(got[got.query_id == q].vec_id)) for q, near in exact.items())
+    assert hits / (10 * len(exact)) >= 0.9
+
+
+def test_nearest_of_empty_and_lonely(spark):
+    empty = spark.createDataFrame([], VECS)
+    assert ann_forest.nearest(empty, F.col("vec_id") % 100 == 0).count() == 0
+    one = spark.createDataFrame([(0, [1.0, 2.0], 0, "a", "b"), (1, None, 0, "a", "b")], VECS)
+    assert ann_forest.nearest(one, F.col("vec_id") % 100 == 0).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 2.0], 0, "a", "b"), (7, [1.0, 2.0], 0, "a", "b")], VECS)
+    assert [tuple(r) for r in ann_forest.nearest(two, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 7, 0.0)]
+
+
+def test_spectrum_slicing():
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((30, 12))
+    for matrix in (a.T @ a, np.diag([5.0, 5.0, 3.0, 1.0, 0.0, 0.0]), np.zeros((3, 3))):
+        found = whitening.leading(matrix, 16)
+        expected = np.linalg.eigvalsh(matrix)[::-1][:16]
+        assert np.allclose(found.values, expected, atol=1e-9)
+        assert np.allclose(found.vectors.T @ found.vectors, np.eye(len(expected)), atol=1e-9)
+        assert np.allclose(matrix @ found.vectors, found.vectors * found.values, atol=1e-8)
+
+
+def test_whitening_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    data = rng.standard_normal((400, 20)) @ rng.standard_normal((20, 20)) * 0.1
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(data.astype(np.float32))]
+    rows += [(500 + i, rows[0][1]) for i in range(50)]  # copies count once in the fit list
+    rows += [(900, None), (901, [float("nan")] * 20), (902, [None] * 20), (900, rows[3][1])]
+    frame = spark.createDataFrame([(i, v, 0, "a", "b") for i, v in rows], VECS).repartition(4)
+    got = whitening.whiten(frame, components=16).toPandas()
+    kept = [(i, np.floor(64 * np.asarray(v, float)).astype(np.int64)) for i, v in rows
+            if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    x = np.array([v for _, v in kept]) + whitening.BASE
+    fit = np.unique(x, axis=0)
+    n, s = len(fit), fit.sum(axis=0)
+    cov = np.cov(fit.T, bias=True)
+    e, u = np.linalg.eigh(cov)
+    e, u = e[::-1][:16], u[:, ::-1][:, :16]
+    assert len(got) == 16 * len(kept) and set(got.n) == {n}
+    assert np.allclose(got.groupby("component").explained.first().to_numpy(), e / np.trace(cov), rtol=1e-6)
+    assert got.identity_error.iloc[0] <= 1e-4
+    for row, (i, v) in enumerate(kept[:30]):
+        mine = got[got.vec_id == i].sort_values("component")
+        want = ((x[row] - s / n) @ u) / np.sqrt(e)
+        assert np.allclose(np.abs(mine.whitened.to_numpy()[:len(want)]), np.abs(want), atol=1e-8)
+        assert int(mine.deviation.iloc[0]) == sum(int(n * a - b) ** 2 for a, b in zip(x[row] - whitening.BASE, s - n * whitening.BASE))
+    w = got.pivot_table(index="vec_id", columns="component", values="whitened", aggfunc="first")
+    assert w.shape[1] == 16
+
+
+def test_whitening_of_nothing(spark):
+    assert whitening.whiten(spark.createDataFrame([], VECS)).count() == 0
+    nulls = spark.createDataFrame([(1, None, 0, "a", "b"), (2, [float("nan")], 0, "a", "b")], VECS)
+    assert whitening.whiten(nulls).count() == 0
+    one = whitening.whiten(spark.createDataFrame([(1, [0.5, 0.25], 0, "a", "b")] * 3, VECS)).collect()
+    assert len(one) == 6 and {r.n for r in one} == {1} and all(r.whitened is None for r in one)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triptych.llm import (
+    ann_forest,
     chunk_fingerprints,
     exact_dedup,
     html_extract,
@@ -15,7 +16,9 @@ from triptych.llm import (
     quality,
     simhash_dedup,
     substring_dedup,
+    token_alignment,
     token_counts,
+    whitening,
 )
 from triptych.llm.common import remainder, table
 
@@ -85,6 +88,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every hundredth one, by a forest of random-projection trees."""
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened on the sixteen leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in every document."""
+    return token_alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"),
+                                 _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_substring_dedup, op3_exact_dedup, op4_language_id, op5_html_extract, op6_packing,
-    op7_simhash_dedup, op8_chunk_fingerprints, op9_token_counts, op10_quality)}
+    op7_simhash_dedup, op8_chunk_fingerprints, op9_token_counts, op10_quality, op11_ann_forest, op12_whitening,
+    op13_token_alignment)}
