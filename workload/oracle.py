@@ -206,6 +206,9 @@ ORACLE_SQL["csv_round_trip_clean"] = """
 SELECT doc_id, text, CASE lang WHEN 'de' THEN '"' || text || '"' WHEN 'fr' THEN NULL
   WHEN 'es' THEN ' ' || text || chr(9) ELSE '\\", ' || text || '\\' END AS note FROM documents"""
 
+ORACLE_SQL["quoted_split_scan"] = """
+SELECT doc_id, 'a "q"' || chr(13) || chr(10) || text || chr(10) || chr(10) AS text, lang FROM documents"""
+
 ORACLE_SQL["header_resolution"] = """
 SELECT c_custkey AS seg_id, c_name AS src, c_acctbal AS cand_a, c_mktsegment AS cand_b,
   c_name || '!' AS cand_c FROM customer"""

@@ -66,6 +66,7 @@ from triptych.sources.readers import (
     read_table,
 )
 from triptych.sources.shared import materialize, new_path
+from triptych.sources.split_scan import read_split
 from triptych.sources.writers import output_path, write_requests, write_table
 from workload.tables import (
     conversation_triples,
@@ -304,6 +305,15 @@ def csv_round_trip_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@query
+def quoted_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written with quoted line breaks (also CR LF) and read in blocks of a file."""
+    path = new_path(spark, "quoted")
+    text = F.concat(F.lit('a "q"\r\n'), F.col("text"), F.lit("\n\n"))
+    write_table(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang"), path)
+    return read_split(spark, path).select(F.col("doc_id").cast("long"), "text", "lang")
+
+
 @query
 def header_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = table(spark, sf_dir, "customer").select(
