@@ -130,6 +130,7 @@ ORACLE_SQL["nine_task_scores_of_pairs"] = ORACLE_SQL["nine_task_scores_long"]
 ORACLE_SQL["nine_task_scores_wide"] = _scored(NINE, keep="seg_id")
 ORACLE_SQL["batch_scorer_pandas"] = ORACLE_SQL["nine_task_scores_wide"]
 ORACLE_SQL["request_reply_round_trip"] = ORACLE_SQL["nine_task_scores_wide"]
+ORACLE_SQL["replies_by_line_order"] = f"SELECT * EXCLUDE (Score_A_Ref_C) FROM ({ORACLE_SQL['nine_task_scores_wide']})"
 ORACLE_SQL["averages_propagate_nan"] = _mean_rows(CONV_SCORED, "conv_id", skip=False)
 ORACLE_SQL["averages_skip_nan"] = _mean_rows(CONV_SCORED, "part", skip=True)
 ORACLE_SQL["win_rates_with_nan"] = _pair_rows(CONV_SCORED, ">", "part")

@@ -66,6 +66,7 @@ from triptych.sources.readers import (
     read_table,
 )
 from triptych.sources.shared import materialize, new_path
+from triptych.sources.line_order import numbered_lines, replies_by_order
 from triptych.sources.split_scan import read_split
 from triptych.sources.writers import output_path, write_requests, write_table
 from workload.tables import (
@@ -282,6 +283,26 @@ def request_reply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attached.select("seg_id", *(t.label for t in NINE_TASKS))
 
 
+LOST_REPLY = "Score_A_Ref_C"
+
+
+@query
+def replies_by_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer that answers line by line without keys; the replies of one task lack a line."""
+    triples = materialize(document_triples(spark, sf_dir), "triples")
+    requests, replies = new_path(spark, "requests"), new_path(spark, "replies")
+    write_requests(triples, requests)
+    sent = numbered_lines(spark, requests).select("task", "place", F.from_json(
+        "value", "source string, hypothesis string, reference string").alias("r"))
+    pairs = sent.select("task", "place", F.col("r.source").alias("src"), F.col("r.hypothesis").alias("hyp"),
+                        F.nullif("r.reference", F.lit("")).alias("ref"))
+    answered = score_pairs(pairs, WORD_OVERLAP, "prediction").filter(
+        (F.col("task") != LOST_REPLY) | (F.col("place") != 0))
+    answered.orderBy("task", "place").select("task", "prediction").write.partitionBy("task").json(replies)
+    attached = attach_scores(triples, replies_by_order(spark, requests, replies), value="prediction")
+    return attached.select("seg_id", *(t.label for t in NINE_TASKS if t.label != LOST_REPLY))
+
+
 @query
 def request_count_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One task lacks the replies for one language, another has one score too many."""
