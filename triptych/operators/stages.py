@@ -133,6 +133,13 @@ class StageResult:
     rejected: DataFrame
 
 
+def _asked_alike(stored: DataFrame, pending: DataFrame) -> bool:
+    """Whether a stored round asked the same (idiom_id, prompt) rows, as many times each."""
+    def rows(frame: DataFrame) -> DataFrame:
+        return frame.select("idiom_id", F.sha2(F.coalesce("prompt", F.lit("\x00")), 256).alias("p"))
+    return rows(stored).exceptAll(rows(pending)).isEmpty() and rows(pending).exceptAll(rows(stored)).isEmpty()
+
+
 def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str,
               max_attempts: int = MAX_ATTEMPTS, resume: bool = False) -> StageResult:
     """Ask for every prompt until its reply is usable, `max_attempts` times at most.
@@ -142,7 +149,9 @@ def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str
     one reads what is left from it, so no paid call is made twice because of a
     lost executor, and nothing has to be joined back. A store belongs to one
     run. With `resume`, rounds that are already complete there are taken as
-    they are, and an incomplete one is written anew. Usable and other replies
+    they are if they asked the same ids with the same prompts; an incomplete one,
+    or one that asked other rows, is written anew (a `JournaledGenerator` then pays
+    only for the rows its journal lacks). Usable and other replies
     of a round lie apart, so each reader reads its own.
     """
     spark = prompts.sparkSession
@@ -163,7 +172,8 @@ def run_stage(stage: Stage, prompts: DataFrame, generator: Generator, store: str
             strip(F.col("response")).alias("response"), "prompt_tokens", "completion_tokens", error.alias("error")),
             stage.required).withColumn("usable", F.col("reply").isNotNull())
         made = made.select(*(c for c in made.columns if c != "usable"), "usable")
-        if resume and is_complete(spark, path):
+        if resume and is_complete(spark, path) and _asked_alike(
+                spark.read.schema(made.schema).parquet(path), pending):
             left = None
         else:
             seen = Observation()

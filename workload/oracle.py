@@ -474,3 +474,8 @@ ORACLE_SQL["report_round_trip"] = f"WITH s AS ({_scored(NINE, _distance)}) " + "
 
 ORACLE_SQL["first_score_check"] = (
     f"SELECT arg_min(Score_QE_A, seg_id) = 0 AS first_score_is_zero FROM ({_scored(QE)})")
+
+ORACLE_SQL["journal_resume_changed_prompts"] = """
+SELECT CAST(p_partkey AS BIGINT) AS idiom_id,
+  upper(CASE WHEN p_partkey % 10 = 0 THEN p_name || ' (revised)' ELSE p_name END) AS english_sentence,
+  CAST(CASE WHEN p_partkey % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS asked FROM part"""

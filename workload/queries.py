@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,7 @@ from triptych.sources.readers import (
     read_table,
 )
 from triptych.sources.shared import materialize, new_path
+from triptych.operators.journal import JournaledGenerator, read_journal
 from triptych.sources.line_order import numbered_lines, replies_by_order
 from triptych.sources.split_scan import read_split
 from triptych.sources.writers import output_path, write_requests, write_table
@@ -446,6 +448,30 @@ def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.col("reply").isNotNull().alias("valid"))
 
 
+def _answer_in_capitals(prompt: str) -> tuple[str, int, int]:
+    return json.dumps({"english_sentence": prompt.upper()}), len(prompt), 1
+
+
+def _capitals_model():
+    return _answer_in_capitals
+
+
+@query
+def journal_resume_changed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage run twice on one store and journal; a tenth of the prompts changed in between.
+
+    `asked` is how many prompts of the row the model saw over both runs: 2 for the changed ones.
+    """
+    parts = table(spark, sf_dir, "part")
+    store, model = new_path(spark, "store"), JournaledGenerator(_capitals_model, new_path(spark, "journal"))
+    changed = F.col("p_partkey") % 10 == 0
+    for prompt in (F.col("p_name"), F.when(changed, F.concat("p_name", F.lit(" (revised)"))).otherwise(F.col("p_name"))):
+        result = run_stage(GERMAN, parts.select(F.col("p_partkey").cast("long").alias("idiom_id"),
+                                                prompt.alias("prompt")), model, store, resume=True)
+    asked = read_journal(spark, model.folder(GERMAN.name, 1)).groupBy("idiom_id").agg(F.count(F.lit(1)).alias("asked"))
+    return result.replies.select("idiom_id", "english_sentence").join(asked, "idiom_id")
+
+
 def _reviewed_idioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as reviewed idioms; they cover some of the ids."""
     return table(spark, sf_dir, "labels").select(
