@@ -133,6 +133,9 @@ ORACLE_SQL["request_reply_round_trip"] = ORACLE_SQL["nine_task_scores_wide"]
 ORACLE_SQL["replies_by_line_order"] = f"SELECT * EXCLUDE (Score_A_Ref_C) FROM ({ORACLE_SQL['nine_task_scores_wide']})"
 ORACLE_SQL["averages_propagate_nan"] = _mean_rows(CONV_SCORED, "conv_id", skip=False)
 ORACLE_SQL["averages_skip_nan"] = _mean_rows(CONV_SCORED, "part", skip=True)
+ORACLE_SQL["exact_averages"] = f"WITH s AS ({CONV_SCORED}) " + " UNION ALL ".join(
+    f"SELECT conv_id, '{label}' AS task, fsum({label}) / count({label}) AS average FROM s GROUP BY conv_id"
+    for label, _, _ in NINE)
 ORACLE_SQL["win_rates_with_nan"] = _pair_rows(CONV_SCORED, ">", "part")
 ORACLE_SQL["win_rates_higher_better"] = _pair_rows(_scored(QE), ">")
 ORACLE_SQL["win_rates_lower_better"] = _pair_rows(_scored(QE, _distance), "<")

@@ -67,6 +67,7 @@ from triptych.sources.readers import (
     read_table,
 )
 from triptych.sources.shared import materialize, new_path
+from triptych.operators.exact_sums import exact_means
 from triptych.operators.journal import JournaledGenerator, read_journal
 from triptych.sources.line_order import numbered_lines, replies_by_order
 from triptych.sources.split_scan import read_split
@@ -138,6 +139,12 @@ def averages_skip_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return averages(_conversation_scores(spark, sf_dir), "skip", NINE_TASKS, by=["part"])
 
 
+@query
+def exact_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the nine tasks per conversation, the same to the last bit for any partitioning."""
+    return exact_means(_conversation_scores(spark, sf_dir), [t.label for t in NINE_TASKS], ["conv_id"])
+
+
 @query
 def win_rates_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win_rates(_conversation_scores(spark, sf_dir), True, by=["part"])
