@@ -482,3 +482,5 @@ ORACLE_SQL["journal_resume_changed_prompts"] = """
 SELECT CAST(p_partkey AS BIGINT) AS idiom_id,
   upper(CASE WHEN p_partkey % 10 = 0 THEN p_name || ' (revised)' ELSE p_name END) AS english_sentence,
   CAST(CASE WHEN p_partkey % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS asked FROM part"""
+
+ORACLE_SQL["swapped_report_after_failure"] = "SELECT lang, count(*) AS n FROM documents GROUP BY lang"

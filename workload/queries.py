@@ -71,6 +71,7 @@ from triptych.operators.exact_sums import exact_means
 from triptych.operators.journal import JournaledGenerator, read_journal
 from triptych.sources.line_order import numbered_lines, replies_by_order
 from triptych.sources.split_scan import read_split
+from triptych.sources.swap import read_swapped, write_swapped
 from triptych.sources.writers import output_path, write_requests, write_table
 from workload.tables import (
     conversation_triples,
@@ -344,6 +345,22 @@ def quoted_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_split(spark, path).select(F.col("doc_id").cast("long"), "text", "lang")
 
 
+@query
+def swapped_report_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report per language swapped in; a second write fails half-way; readers still see the first."""
+    path = new_path(spark, "swapped")
+    docs = table(spark, sf_dir, "documents")
+    write_swapped(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), path)
+    broken = docs.select("lang", F.when(F.col("doc_id") == 0, F.raise_error(F.lit("stopped"))).otherwise(
+        F.lit(1)).alias("one")).groupBy("lang").agg(F.sum("one").alias("n"))
+    try:
+        write_swapped(broken, path)
+    except Exception as error:  # noqa: BLE001 - the failure is the point
+        if "stopped" not in str(error):
+            raise
+    return read_swapped(spark, path)
+
+
 @query
 def header_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = table(spark, sf_dir, "customer").select(
