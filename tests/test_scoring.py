@@ -385,3 +385,30 @@ def test_triple_keys_are_checked(spark, rows):
     scores = spark.createDataFrame([(1, t.label, 1.0) for t in NINE_TASKS], "seg_id long, task string, score double")
     with pytest.raises(ValueError, match="need a key each"):
         attach_scores(triples, scores)
+
+
+def test_calls_bounded_by_padded_length(spark, tmp_path):
+    log = str(tmp_path)
+    draw = random.Random(3)
+
+    def text():
+        return "w" * draw.choice([1, 5, 40, 300, 2000])
+    rows = [(i, text(), text(), text(), text()) for i in range(120)]
+    triples = spark.createDataFrame(rows, TRIPLES).coalesce(1)
+
+    def build():
+        import uuid
+        name = uuid.uuid4().hex
+
+        def score(sources, hypotheses, references):
+            lengths = [len(s) + len(h) + len(r or "") for s, h, r in zip(sources, hypotheses, references or [None] * len(sources))]
+            with open(f"{log}/{name}", "a") as f:
+                f.write(f"{len(lengths)} {max(lengths)}\n")
+            return [float(len(h)) for h in hypotheses]
+        return score
+    bounded = score_triples(triples, BatchScorer("m", True, build, 50, cost_per_call=3000)).collect()
+    calls = [tuple(map(int, line.split())) for f in tmp_path.iterdir() for line in f.read_text().split("\n") if line]
+    assert all(n * longest <= 3000 or n == 1 for n, longest in calls)
+    assert any(n > 1 for n, _ in calls) and max(n for n, _ in calls) <= 50
+    plain = score_triples(triples, BatchScorer("m", True, lambda: lambda s, h, r: [float(len(x)) for x in h])).collect()
+    assert sorted(map(tuple, bounded)) == sorted(map(tuple, plain))

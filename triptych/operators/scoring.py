@@ -59,6 +59,11 @@ class BatchScorer:
     It gives one number per text, NaN or None where it has none. No call mixes
     languages. A row with a missing text is never sent and has no score.
 
+    `cost_per_call` bounds a call by its padded length: rows times the characters of the
+    longest row's texts (source, hypothesis and reference together). Rows of like length
+    then go together; a row above the bound is sent alone. Without it calls have
+    `rows_per_call` rows in the order of the batch.
+
     `on_failure` says what a failed call leaves: `zero` scores (not for scores
     of which the lowest is best), `null` scores, `omit` to leave the task out
     of the report as well, or `fail` to stop the job. Without it the policy is that of the
@@ -71,6 +76,7 @@ class BatchScorer:
     rows_per_call: int = 256
     on_failure: str | None = None
     takes: str = "texts"
+    cost_per_call: int | None = None
 
     def __post_init__(self) -> None:
         if self.on_failure not in (None, *POLICIES):
@@ -133,14 +139,33 @@ def _score_by_columns(triples: DataFrame, scorer: ColumnScorer, tasks: Sequence[
     return frame.select(*triples.columns, *scores)
 
 
-def _calls(keys: pd.DataFrame, sent: np.ndarray, rows_per_call: int) -> Iterator[np.ndarray]:
-    """Positions of the rows of each model call: rows that are sent, with the same keys."""
+def _calls(keys: pd.DataFrame, sent: np.ndarray, rows_per_call: int, cost: np.ndarray | None = None,
+           cost_per_call: int | None = None) -> Iterator[np.ndarray]:
+    """Positions of the rows of each model call: rows that are sent, with the same keys.
+
+    With `cost_per_call` the rows of a group are taken by rising `cost` (texts of like
+    length together) and a call ends before its rows times its largest cost would pass
+    the bound, as a padded batch would; a row above the bound is a call of its own. The
+    scores go back to the rows by their positions, so the order does not change.
+    """
     rows = np.flatnonzero(sent)
     if not len(rows):
         return
     for _, own in keys.iloc[rows].groupby(list(keys.columns), dropna=False, sort=False).indices.items():
-        for start in range(0, len(own), rows_per_call):
-            yield rows[own[start:start + rows_per_call]]
+        members = rows[own]
+        if cost_per_call is None or cost is None:
+            for start in range(0, len(members), rows_per_call):
+                yield members[start:start + rows_per_call]
+            continue
+        members = members[np.argsort(cost[members], kind="stable")]
+        start = 0
+        while start < len(members):
+            stop = start + 1
+            while (stop < len(members) and stop - start < rows_per_call
+                   and (stop - start + 1) * cost[members[stop]] <= cost_per_call):
+                stop += 1
+            yield members[start:stop]
+            start = stop
 
 
 _SCORED, _FAILED, _NAN, _UNSENT = 0, 1, 2, 3
@@ -202,7 +227,10 @@ def _score_by_batches(triples: DataFrame, scorer: BatchScorer, tasks: Sequence[T
                 scores = np.zeros(len(keys))
                 status = np.where(sent, _SCORED, _UNSENT).astype(np.int8)
                 errors = np.full(len(keys), None, dtype=object)
-                for rows in _calls(keys, sent, scorer.rows_per_call):
+                cost = None
+                if scorer.cost_per_call is not None:
+                    cost = sum(pd.Series(text[c]).fillna("").str.len().to_numpy() for c in used)
+                for rows in _calls(keys, sent, scorer.rows_per_call, cost, scorer.cost_per_call):
                     for some, values, error in call(task, rows):
                         scores[some], errors[some] = values, error
                         status[some] = _SCORED if error is None else _FAILED
