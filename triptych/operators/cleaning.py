@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -58,13 +58,29 @@ def first_rows(df: DataFrame, key: str | Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
+def _spread(df: DataFrame, key: str) -> Column:
+    whole = isinstance(df.schema[key].dataType, IntegralType)
+    number = F.col(key) if whole else F.xxhash64(key)
+    return F.pmod(F.pmod(number, F.lit(_SAMPLE_RANGE)) * _SAMPLE_STEP, F.lit(_SAMPLE_RANGE))
+
+
+def review_sample_per_stratum(df: DataFrame, strata: Sequence[str], key: str, k: int) -> DataFrame:
+    """Exactly `k` rows of each stratum (all of a smaller one), always the same ones.
+
+    The rows are those of the `k` smallest spreads of the key (as `review_sample` spreads
+    it), ties by the key. Each task keeps the bottom k of every stratum before the shuffle
+    (Spark's group limit under the rank filter), so a stratum moves at most k rows a task
+    whatever its size, and the last bottom k is taken of those. A NULL stratum is one
+    stratum; rows with a NULL key come last.
+    """
+    order = Window.partitionBy(*strata).orderBy(_spread(df, key).asc_nulls_last(), F.col(key).asc_nulls_last())
+    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
+
+
 def review_sample(df: DataFrame, key: str, percent: float) -> DataFrame:
     """About `percent` of the rows, always the same ones, for manual review.
 
     Remainders of a whole-number key are scattered, so that neighbours do not
     go together; any other key is hashed.
     """
-    whole = isinstance(df.schema[key].dataType, IntegralType)
-    number = F.col(key) if whole else F.xxhash64(key)
-    spread = F.pmod(F.pmod(number, F.lit(_SAMPLE_RANGE)) * _SAMPLE_STEP, F.lit(_SAMPLE_RANGE))
-    return df.filter(spread < percent * _SAMPLE_RANGE / 100)
+    return df.filter(_spread(df, key) < percent * _SAMPLE_RANGE / 100)

@@ -484,3 +484,7 @@ SELECT CAST(p_partkey AS BIGINT) AS idiom_id,
   CAST(CASE WHEN p_partkey % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS asked FROM part"""
 
 ORACLE_SQL["swapped_report_after_failure"] = "SELECT lang, count(*) AS n FROM documents GROUP BY lang"
+
+ORACLE_SQL["review_sample_per_language"] = """
+SELECT doc_id, lang, source, n_chars FROM documents QUALIFY row_number() OVER (
+  PARTITION BY lang, source ORDER BY doc_id % 10007 * 7919 % 10007, doc_id) <= 25"""

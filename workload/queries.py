@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from triptych.functions.formats import cost_text, mean_text, rate_text
 from triptych.functions.prompts import german_prompt, identification_prompt, urdu_prompt
 from triptych.operators.attempts import cost_summary, first_valid, parse_attempts, tokens_made
-from triptych.operators.cleaning import clean_base, first_rows, review_sample
+from triptych.operators.cleaning import clean_base, first_rows, review_sample, review_sample_per_stratum
 from triptych.operators.compliance import (
     dataset_rules,
     is_native_script,
@@ -624,6 +624,13 @@ def review_sample_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "lang", "n_chars")
 
 
+@query
+def review_sample_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly 25 documents of each language (of each source within it), always the same ones."""
+    return review_sample_per_stratum(table(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", 25).select(
+        "doc_id", "lang", "source", "n_chars")
+
+
 @query
 def row_limit_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(part_idioms(spark, sf_dir), "idiom_id", 3)
