@@ -48,7 +48,8 @@ def test_kernel_is_the_share_of_common_ngrams():
 
 def test_language_of_odd_rows(make_docs):
     rows = [(i, t, "en" if t in EN else "de") for i, t in enumerate(EN + DE)]
-    rows += [(10, None, "en"), (11, "", "de"), (12, "123 !", "de"), (13, EN[0], None), (None, DE[0], "de"), (14, "the " * 60_000, "en")]
+    rows += [(10, None, "en"), (11, "", "de"), (12, "123 !", "de"), (13, EN[0], None), (None, DE[0], "de"), (14, "the " * 60_000, "en"),
+             (15, "½ ² 12", "en"), (16, "Ⅷ", "de")]
     docs = make_docs(rows)
     model = language_id.train(docs, landmarks=2)
     got = {r.doc_id: r for r in language_id.identify(docs, model, carry=["doc_id", "lang", "key", "row"]).collect()}
@@ -60,6 +61,9 @@ def test_language_of_odd_rows(make_docs):
     assert language_id.train(docs.limit(0)) is None and language_id.train(docs.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {tuple(r)[1:] for r in language_id.identify(docs, None).collect()} == {("und", 0.0)}
     assert language_id.identify(docs.limit(0), model).count() == 0
+    lettered = {r[0] for r in rows if r[1] and any(map(str.isalpha, r[1]))}
+    for judged in (model, None):
+        assert {r.doc_id for r in language_id.keep_identified(docs, judged).collect()} == lettered
 
 
 def test_copies_come_into_the_sample_once(make_docs, monkeypatch):

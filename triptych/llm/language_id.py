@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ SPACE_BITS = 20  # n-grams are told apart by so many bits of a hash
 BLOCK = 1 << 17  # characters of a text whose n-grams are found at a time
 ROWS = 128  # texts of one matrix product
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # a letter of any script; not digits, fractions or numerals
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -186,11 +186,12 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "t
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, text_column: str = "text") -> DataFrame:
-    """The rows of `docs` whose text has a letter, with all their columns.
+    """The rows of `docs` whose text has a letter (`\\p{L}`), with all their columns.
 
-    Without a model no text can be judged, and all rows are kept.
+    With a model every text with a letter gets a language, so the rows kept are the same
+    whether or not any row had a label; without one they are found by Spark alone.
     """
     if model is None:
-        return docs
+        return docs.filter(F.coalesce(exact(text_column).rlike(r"\p{L}"), F.lit(False)))
     found = _identified(docs, model, text_column, docs.columns).filter(F.col("lang_pred") != UNDETERMINED)
     return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
