@@ -92,3 +92,19 @@ def test_null_and_repeated_ids_keep_their_rows(spark, make_docs):
     rows = [(None, "same text"), (None, "same text"), (5, "same text"), (5, "other text")]
     got = sorted((r.doc_id is None, r.n_a) for r in T.align(make_docs(rows), A, B).collect())
     assert len(got) == 4 and all(n > 0 for _, n in got)
+
+
+def test_tiktoken_ranks_give_the_same_ids(spark, make_docs):
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    fast, plain_aligner = T.Aligner(A, B, ranks), T.Aligner(A, B)
+    assert fast.a_bytes == plain_aligner.a_bytes[:len(fast.a_bytes)] and len(fast.a_bytes) == 50256
+    import pandas as pd
+    texts = TEXTS[2:] + pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.tolist()[:300]
+    for text in texts:
+        t = " " + (text or "")
+        assert fast.fast.encode_ordinary(t) == plain_aligner.a.encode(t, add_special_tokens=False).ids
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    want = plain(rows)
+    got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256)
+           for r in T.align(make_docs(rows), A, B, a_ranks=ranks).collect()}
+    assert got == want

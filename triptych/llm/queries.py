@@ -100,8 +100,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers line up in every document."""
+    import public_tokenizers
+
     return token_alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"),
-                                 _tokenizer("piece_bpe_32k.model"))
+                                 _tokenizer("piece_bpe_32k.model"),
+                                 a_ranks=(_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 QUERIES = {f.__name__: f for f in (
