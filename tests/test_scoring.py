@@ -199,6 +199,20 @@ def test_attach_scores(spark):
     assert attached.exceptAll(want).isEmpty() and want.exceptAll(attached).isEmpty()
 
 
+def test_missing_texts_have_no_score(spark):
+    triples = spark.createDataFrame([(1, "x y", "x", "x y", "q"), (2, "x y", "x", None, None), (3, None, "x", "", "x")],
+                                    TRIPLES)
+    want = score_triples(triples, WORD_OVERLAP)
+    assert want.filter("seg_id = 2 and Score_QE_A = 100 and Score_A_Ref_B = 0 and Score_B_Ref_A is null").count() == 1
+    long = score_pairs(expand_tasks(triples), WORD_OVERLAP)
+    for scores in (long, long.filter("score is not null")):
+        attached = attach_scores(triples, scores)
+        assert attached.columns == want.columns
+        assert attached.exceptAll(want).isEmpty() and want.exceptAll(attached).isEmpty()
+    with pytest.warns(UserWarning, match="Score_QE_A"):
+        attach_scores(triples, long.filter("score is not null and not (task = 'Score_QE_A' and seg_id = 2)"))
+
+
 @pytest.mark.parametrize("spoil", [
     lambda s: s.filter("not (task = 'Score_QE_B' and seg_id = 3)"),
     lambda s: s.filter("task <> 'Score_QE_B'"),

@@ -287,10 +287,15 @@ def fail_whole_calls(scored: DataFrame, scorer: BatchScorer, tasks: Sequence[Tas
 
 
 def score_pairs(pairs: DataFrame, scorer: ColumnScorer, name: str = "score") -> DataFrame:
-    """Add a score to a long frame with src, hyp and ref."""
+    """Add a score to a long frame with src, hyp and ref.
+
+    A row is judged against its source if `is_qe` says so or, without that column, if it has
+    no reference.
+    """
     hypothesis, other = F.col("_hyp"), F.col("_against")
+    free = F.col("is_qe") if "is_qe" in pairs.columns else F.col("ref").isNull()
     frame = pairs.select("*", scorer.prepare(F.col("hyp")).alias("_hyp"),
-                         scorer.prepare(F.coalesce("ref", "src")).alias("_against"))
+                         scorer.prepare(F.when(free, F.col("src")).otherwise(F.col("ref"))).alias("_against"))
     if scorer.shared:
         other = scorer.shared(hypothesis, other)
     return frame.select(*pairs.columns, scorer.compare(hypothesis, other).cast("double").alias(name))
@@ -310,16 +315,23 @@ def attach_scores(triples: DataFrame, scores: DataFrame, tasks: Sequence[Task] =
 
     A task counts only if it has exactly one score for every triple and none
     besides; the column of any other task is left out with a warning. A triple
-    key that is missing or repeated stops the job. All this is checked on keys
-    and counts, in one grouping, before the texts are joined.
+    without the hypothesis of a task may go without a score there, as it is not
+    sent; it then has NULL. A triple key that is missing or repeated stops the
+    job. All this is checked on keys and counts, in one grouping, before the
+    texts are joined.
     """
     def counter(task: Task) -> str:
         return f"_n_{task.label}"
 
-    rows = triples.select(*keys, F.lit(1).alias("_triple")).unionByName(
+    texts = sorted({CANDIDATE[t.hyp] for t in tasks} & set(triples.columns))
+
+    def missing(task: Task) -> Column:
+        return F.col(f"_no_{CANDIDATE[task.hyp]}") if CANDIDATE[task.hyp] in texts else F.lit(False)
+
+    rows = triples.select(*keys, F.lit(1).alias("_triple"), *(F.isnull(c).alias(f"_no_{c}") for c in texts)).unionByName(
         scores.select(*keys, F.col("task").alias("_task"), F.col(value).alias("_value")), allowMissingColumns=True)
     per_key = materialize(rows.groupBy(*keys).agg(
-        F.count("_triple").alias("_triples"),
+        F.count("_triple").alias("_triples"), *(F.max(f"_no_{c}").alias(f"_no_{c}") for c in texts),
         *(F.max(F.when(F.col("_task") == t.label, F.col("_value"))).alias(t.label) for t in tasks),
         *(F.count_if(F.col("_task") == t.label).alias(counter(t)) for t in tasks)), "pivoted")
     one = F.col("_triples") == 1
@@ -331,13 +343,15 @@ def attach_scores(triples: DataFrame, scores: DataFrame, tasks: Sequence[Task] =
         F.count_if((F.col("_triples") > 0) & no_key).alias("nameless"),
         F.count_if(one).alias("expected"),
         *(F.coalesce(F.sum(counter(t)), F.lit(0)).alias(f"rows_{t.label}") for t in tasks),
-        *(F.count_if(one & (F.col(counter(t)) == 1)).alias(f"matched_{t.label}") for t in tasks)).first()
+        *(F.count_if(one & (F.col(counter(t)) == 1)).alias(f"matched_{t.label}") for t in tasks),
+        *(F.count_if(one & (F.col(counter(t)) == 0) & missing(t)).alias(f"unsent_{t.label}") for t in tasks)).first()
     if found["repeated"] or found["nameless"]:
         raise ValueError(f"triples need a key each: {found['repeated']} keys are repeated, "
                          f"{'some are' if found['nameless'] else 'none is'} missing")
     complete = []
     for task in tasks:
-        if found["expected"] == found[f"rows_{task.label}"] == found[f"matched_{task.label}"]:
+        matched = found[f"matched_{task.label}"]
+        if found[f"rows_{task.label}"] == matched == found["expected"] - found[f"unsent_{task.label}"]:
             complete.append(task.label)
         else:
             warnings.warn(f"{found[f'rows_{task.label}']} scores of {task.label} for "

@@ -25,12 +25,16 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def request_rows(triples: DataFrame, tasks: Sequence[Task] = NINE_TASKS,
                  keys: Sequence[str] = ("seg_id",)) -> DataFrame:
-    """What an outside scorer is sent; a missing reference is the empty text."""
-    return expand_tasks(triples, tasks, keys).select(
+    """What an outside scorer is sent; reference-free tasks have the empty text as reference.
+
+    A missing hypothesis is not sent: `attach_scores` gives it no score. A source or reference
+    that is missing stays so (its field is left out of JSON), for the scorer to decide.
+    """
+    return expand_tasks(triples, tasks, keys).filter(F.col("hyp").isNotNull()).select(
         *keys, "task",
         F.col("src").alias("source"),
         F.col("hyp").alias("hypothesis"),
-        F.coalesce("ref", F.lit("")).alias("reference"))
+        F.when(F.col("is_qe"), F.lit("")).otherwise(F.col("ref")).alias("reference"))
 
 
 def write_requests(triples: DataFrame, path: str, tasks: Sequence[Task] = NINE_TASKS,

@@ -273,12 +273,16 @@ def language_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "language", F.explode(entries).alias("_entry")).select("language", "_entry.key", "_entry.value")
 
 
+QE_LABELS = [t.label for t in QE_TASKS]
+
+
 def _outside_scorer(spark: SparkSession, requests: str) -> DataFrame:
     """What a scorer that only sees the request files replies."""
     sent = spark.read.schema("seg_id long, source string, hypothesis string, reference string, "
                              "task string").json(requests)
     pairs = sent.select("seg_id", "task", F.col("source").alias("src"),
-                        F.col("hypothesis").alias("hyp"), F.nullif("reference", F.lit("")).alias("ref"))
+                        F.col("hypothesis").alias("hyp"), F.col("reference").alias("ref"),
+                        F.col("task").isin(QE_LABELS).alias("is_qe"))
     return score_pairs(pairs, WORD_OVERLAP, "prediction").select("seg_id", "task", "prediction")
 
 
