@@ -28,7 +28,7 @@ def test_query_agrees_with_its_sql(spark, con, name):
 
 
 @pytest.mark.filterwarnings("ignore:.*left out")
-@pytest.mark.parametrize("name", ["request_reply_round_trip", "nine_task_scores_of_pairs"])
+@pytest.mark.parametrize("name", ["request_reply_round_trip", "replies_by_line_order", "nine_task_scores_of_pairs"])
 def test_incomplete_triples_agree_with_the_sql(spark, tmp_path, name):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id < 40 and doc_id not in (5, 8, 38, 39)")
     docs = docs.withColumn("text", F.when(F.col("doc_id") == 14, "").otherwise(F.col("text")))

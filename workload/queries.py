@@ -309,7 +309,7 @@ def replies_by_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = numbered_lines(spark, requests).select("task", "place", F.from_json(
         "value", "source string, hypothesis string, reference string").alias("r"))
     pairs = sent.select("task", "place", F.col("r.source").alias("src"), F.col("r.hypothesis").alias("hyp"),
-                        F.nullif("r.reference", F.lit("")).alias("ref"))
+                        F.col("r.reference").alias("ref"), F.col("task").isin(QE_LABELS).alias("is_qe"))
     answered = score_pairs(pairs, WORD_OVERLAP, "prediction").filter(
         (F.col("task") != LOST_REPLY) | (F.col("place") != 0))
     answered.orderBy("task", "place").select("task", "prediction").write.partitionBy("task").json(replies)
