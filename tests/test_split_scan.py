@@ -61,6 +61,24 @@ def test_records_keep_carriage_returns_in_quotes_only(spark, tmp_path, small_blo
     assert [r.h for r in read_split(spark, path).collect()] == ["a\r\nb"]
 
 
+def test_texts_are_shuffled_once(spark, tmp_path, small_blocks):
+    path = write(tmp_path, "a.csv", CONTENT)
+    plan = record_lines(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_a_header_over_several_blocks(spark, tmp_path, small_blocks):
+    folder = tmp_path / "long"
+    folder.mkdir()
+    header = '"' + "long name\n" * 30 + '",b\n'
+    for name in ("1.csv", "2.csv"):
+        write(folder, name, header + f"{name},2\n")
+    assert sorted(r[0] for r in read_split(spark, str(folder)).collect()) == ["1.csv", "2.csv"]
+    write(folder, "3.csv", header.replace(",b", ",c") + "3.csv,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_split(spark, str(folder))
+
+
 def test_wrong_rows_and_headers_stop(spark, tmp_path):
     wide = write(tmp_path, "w.csv", "a,b\n1,2,3\n")
     with pytest.raises(Exception, match="more fields"):
