@@ -3,6 +3,7 @@ import math
 import random
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from triptych.operators.report import CALIBRATED, DISTANCE, JUDGE
 from triptych.operators.scoring import (
     BatchScorer,
     ColumnScorer,
+    _few,
     attach_scores,
     fail_whole_calls,
     failed_column,
@@ -199,6 +201,15 @@ def test_attach_scores(spark):
     assert attached.exceptAll(want).isEmpty() and want.exceptAll(attached).isEmpty()
 
 
+def test_few_texts_are_held_at_a_time():
+    rows = [(0, "", "", i, "s" * (100 if i < 50 else 1), None if i == 7 else "t") for i in range(101)]
+    columns = tuple(map(pa.array, zip(*rows, strict=True)))
+    got = list(_few(iter([columns]), 4, 1000))
+    assert max(len(part[3]) for part in got[:6]) == 8 and len(got) < 12
+    assert [tuple(row) for part in got for row in zip(*part, strict=True)] == rows
+    assert [len(part[3]) for part in _few(iter([columns]), 40, 1000)] == [40, 40, 21]
+
+
 def test_missing_texts_have_no_score(spark):
     triples = spark.createDataFrame([(1, "x y", "x", "x y", "q"), (2, "x y", "x", None, None), (3, None, "x", "", "x")],
                                     TRIPLES)

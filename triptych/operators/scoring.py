@@ -9,6 +9,8 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from triptych.sources.shared import materialize
 
 Texts = Sequence[str]
 Model = Callable[..., Sequence[float]]
+# Texts that become Python's at a time.
+CALL_BYTES = 8 << 20
 INPUTS = ("texts", "codes", "frame")
 POLICIES = ("zero", "null", "omit", "fail")
 
@@ -208,13 +212,28 @@ class _Caller:
                 yield rows, np.zeros(len(rows)), f"{type(error).__name__}: {error}"
 
 
+def _few(batches: Iterator[tuple[pa.Array, ...]], rows_per_call: int,
+         most: int = CALL_BYTES) -> Iterator[tuple[pd.Series, ...]]:
+    """The rows as pandas columns, so many at a time that they have about `most` bytes of text and
+    fill whole calls, one call at least: Python texts are several times as large as Arrow's."""
+    for columns in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for c in columns[4:])
+        ends, start = np.cumsum(sizes), 0
+        while start < len(ends):
+            fit = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")) - start
+            stop = start + (fit if start + fit == len(ends) else max(fit // rows_per_call, 1) * rows_per_call)
+            yield tuple(c.slice(start, stop - start).to_pandas() for c in columns)
+            start = stop
+
+
 def _score_by_batches(triples: DataFrame, scorer: BatchScorer, tasks: Sequence[Task],
                       call_group: str | None, codes: tuple[Column, Column] | None, by_row: bool) -> DataFrame:
     texts = sorted({"src"} | {CANDIDATE[t.hyp] for t in tasks} | {_against(t) for t in tasks})
 
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         call = None
-        for group, source, target, segments, *columns in batches:
+        for group, source, target, segments, *columns in _few(batches, scorer.rows_per_call):
             text = dict(zip(texts, (c.to_numpy() for c in columns), strict=True))
             keys = pd.DataFrame({"group": group, "source": source, "target": target})
             if call is None:
@@ -236,14 +255,15 @@ def _score_by_batches(triples: DataFrame, scorer: BatchScorer, tasks: Sequence[T
                         status[some] = _SCORED if error is None else _FAILED
                 status[np.isnan(scores)] = _NAN
                 out |= {task.label: scores, failed_column(task.label): status, error_column(task.label): errors}
-            yield pd.DataFrame(out)
+            yield pa.StructArray.from_arrays([pa.array(v, type=t, from_pandas=False) for v, t in zip(
+                out.values(), [pa.float64(), pa.int8(), pa.string()] * len(tasks), strict=True)], list(out))
 
     # The texts go to Python once for all tasks; the other columns stay in the JVM.
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]],
-                           "return": Iterator[pd.DataFrame]}
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]],
+                           "return": Iterator[pa.Array]}
     schema = ", ".join(f"`{t.label}` double, `{failed_column(t.label)}` byte, `{error_column(t.label)}` string"
                        for t in tasks)
-    scored = F.pandas_udf(run, schema).asNondeterministic()
+    scored = F.arrow_udf(run, schema).asNondeterministic()
     group = F.col(call_group) if call_group else F.lit(0)
     segment = F.col("seg_id") if "seg_id" in triples.columns else F.lit(0)
     source, target = codes or (F.lit(""), F.lit(""))
