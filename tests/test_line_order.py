@@ -52,3 +52,16 @@ def test_bad_lines(spark, tmp_path):
         replies_by_order(spark, str(tmp_path / "q"), str(tmp_path / "a")).collect()
     got = replies_by_order(spark, str(tmp_path / "q"), str(tmp_path / "a"), on_bad="drop").collect()
     assert [(r.seg_id, r.prediction) for r in got] == [(2, 0.5)]
+
+
+def test_lines_are_numbered_without_a_shuffle_of_their_texts(spark, tmp_path, small_blocks):
+    lay(tmp_path / "r", "A", [[{"seg_id": i} for i in range(30)]])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = numbered_lines(spark, str(tmp_path / "r"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted((r.place, json.loads(r.value)["seg_id"]) for r in got.collect()) == [(i, i) for i in range(30)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -1,6 +1,7 @@
 import csv
 import json
 import random
+import time
 from pathlib import Path
 
 import pandas as pd
@@ -15,7 +16,7 @@ from triptych.operators.ordinal import with_input_ordinal
 from triptych.operators.report import JUDGE
 from triptych.operators.scoring import score_triples
 from triptych.operators.stats import win_rates
-from triptych.operators.tasks import NINE_TASKS, QE_TASKS
+from triptych.operators.tasks import NINE_TASKS, QE_TASKS, expand_tasks
 from triptych.plans.evaluation import evaluate
 from triptych.sources.profiles import load_languages, load_triples, union_languages
 from triptych.sources.readers import (
@@ -28,8 +29,8 @@ from triptych.sources.readers import (
     read_reports,
     read_table,
 )
-from triptych.sources.shared import is_complete, materialize, new_path, shared_folder
-from triptych.sources.writers import output_path, request_rows, write_requests, write_table
+from triptych.sources.shared import is_complete, materialize, new_path, shared_folder, shuffles_dropped
+from triptych.sources.writers import output_path, request_groups, request_rows, write_requests, write_table
 
 
 def put(folder, name, text):
@@ -148,6 +149,48 @@ def test_requests(spark, tmp_path):
     assert "جل" in raw
 
 
+def test_request_groups_hold_so_many_bytes(spark):
+    triples = spark.createDataFrame([(1, "ss", "ä", "b", "c" * 9), (2, "s", "a", None, "c")],
+                                    "seg_id long, src string, cand_a string, cand_b string, cand_c string")
+    labels = [t.label for t in NINE_TASKS]  # bytes: src 3, A 3, B 1, C 10
+    groups = request_groups(triples, most=20)
+    assert [t.label for g in groups for t in g] == labels
+    assert [[t.label for t in g] for g in groups][0] == ["Score_QE_A", "Score_QE_B"]  # 6 + 4; 13 more do not fit
+    assert [len(g) for g in request_groups(triples, most=1)] == [1] * 9
+    assert [len(g) for g in request_groups(triples)] == [9]
+    assert request_groups(triples, []) == []
+    assert [len(g) for g in request_groups(triples.filter("false"), most=1)] == [9]
+
+
+def test_one_task_is_expanded_as_among_others(spark):
+    triples = spark.createDataFrame([(1, "s", "a", "b", None), (2, None, None, "b2", "c2")],
+                                    "seg_id long, src string, cand_a string, cand_b string, cand_c string")
+    for task in NINE_TASKS:
+        alone = expand_tasks(triples, [task])
+        among = expand_tasks(triples).filter(F.col("task") == task.label)
+        assert alone.columns == among.columns and dict(alone.dtypes) == dict(among.dtypes)
+        assert sorted(map(str, alone.collect())) == sorted(map(str, among.collect()))
+        assert "Generate" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_files_are_dropped_at_the_end_of_a_query(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+    already = held()
+    with shuffles_dropped(spark):
+        assert materialize(spark.range(100).repartition(3, "id"), "dealt").count() == 100
+    deadline = time.monotonic() + 20  # files go soon after
+    while not held() <= already and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert held() <= already
+    assert spark.conf.get(name) == before
+
+
 def test_reports_with_bare_nan(spark, tmp_path):
     path = put(tmp_path, "r.json", '{\n "language": "de",\n "averages": {"A": NaN, "B": "NaN", "C": 1.5},\n'
                ' "win_rate_A_vs_B": 0.5\n}')

@@ -1,11 +1,14 @@
 """All queries against their SQL on the smallest tables, and their plans."""
 
+from functools import partial
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from triptych.operators.tasks import NINE_TASKS
+from triptych.sources.writers import request_groups, write_requests
 from workload.oracle import ORACLE_SQL
 from workload.queries import QUERIES
 from workload.trial import connect, differences
@@ -39,6 +42,27 @@ def test_incomplete_triples_agree_with_the_sql(spark, tmp_path, name):
     assert rows > 0
 
 
+@pytest.mark.filterwarnings("ignore:.*left out")
+@pytest.mark.parametrize("name", ["replies_by_line_order"])
+def test_requests_lie_on_disk_for_one_group_of_tasks_at_a_time(spark, con, monkeypatch, name):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before, laid, lines = set(shared.rglob("requests-*")), [], {}
+
+    def write(triples, path, tasks=NINE_TASKS, keys=("seg_id",)):
+        write_requests(triples, path, tasks, keys)
+        laid.append([x.name for p in set(shared.rglob("requests-*")) - before for x in p.glob("task=*")])
+        lines.update({x.name: sum(len(p.read_text().splitlines()) for p in x.glob("*.json"))
+                      for x in Path(path).glob("task=*")})
+
+    monkeypatch.setattr("workload.queries.write_requests", write)
+    monkeypatch.setattr("workload.queries.request_groups", partial(request_groups, most=1), raising=False)
+    problem, rows = differences(spark, con, SMALL, name)
+    assert not problem
+    assert [len(x) for x in laid] == [1] * 9
+    assert lines == {f"task={t.label}": rows for t in NINE_TASKS}
+    assert set(shared.rglob("requests-*")) == before
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
     assert set(QUERIES) <= set(contract.queries())

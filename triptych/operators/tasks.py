@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("A", "B", "C")
@@ -37,12 +37,17 @@ def expand_tasks(triples: DataFrame, tasks: Sequence[Task] = NINE_TASKS,
 
     `ref` is NULL in reference-free tasks. The table grows by the number of
     tasks, so scoring inside Spark uses `score_triples`, which does not need it.
+    The name of a single task is a constant, by which no writer has to sort.
     """
-    options = F.array(*(
-        F.struct(F.lit(t.label).alias("task"),
-                 F.col(CANDIDATE[t.hyp]).alias("hyp"),
-                 (F.col(CANDIDATE[t.ref]) if t.ref else F.lit(None).cast("string")).alias("ref"),
-                 F.lit(t.reference_free).alias("is_qe"))
-        for t in tasks))
-    return (triples.select(*keys, "src", F.explode(options).alias("_task"))
-            .select(*keys, "_task.task", "src", "_task.hyp", "_task.ref", "_task.is_qe"))
+    def columns(task: Task) -> list[Column]:
+        return [F.lit(task.label).alias("task"),
+                F.col(CANDIDATE[task.hyp]).alias("hyp"),
+                (F.col(CANDIDATE[task.ref]) if task.ref else F.lit(None).cast("string")).alias("ref"),
+                F.lit(task.reference_free).alias("is_qe")]
+
+    if len(tasks) == 1:
+        frame = triples.select(*keys, "src", *columns(tasks[0]))
+    else:
+        options = F.array(*(F.struct(*columns(t)) for t in tasks))
+        frame = triples.select(*keys, "src", F.explode(options).alias("_task")).select(*keys, "src", "_task.*")
+    return frame.select(*keys, "task", "src", "hyp", "ref", "is_qe")

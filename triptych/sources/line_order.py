@@ -35,7 +35,8 @@ def numbered_lines(spark: SparkSession, path: str, group: str = "task") -> DataF
     blocks = lines.groupBy(_GROUP, _FILE, _BLOCK).agg(F.min(_ID).alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(_GROUP).orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return lines.join(blocks, [_GROUP, _FILE, _BLOCK]).select(
+    # One row per file block: broadcast, whatever Spark takes its size for, or all lines would be shuffled.
+    return lines.join(F.broadcast(blocks), [_GROUP, _FILE, _BLOCK]).select(
         F.col(_GROUP).alias(group), (F.col("offset") + F.col(_ID) - F.col("first")).alias("place"), "value")
 
 

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folder: str | None = None
 _run_folders: list[str] = []
 
@@ -53,6 +54,20 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         _file_system(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Have each query that runs in between drop its shuffle files when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(_FILE_CLEANUP)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FILE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write `df` once and read it back; `codec` is Parquet's, if not the session's.
 

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triptych.operators.tasks import NINE_TASKS, Task, expand_tasks
+from triptych.operators.tasks import CANDIDATE, NINE_TASKS, Task, expand_tasks
+
+# All nine tasks hold each text six times, uncompressed: more of it than this is not laid down at once.
+REQUEST_BYTES = 256 << 20
 
 
 def output_path(root: str, metric: str, language: str) -> str:
@@ -44,6 +47,27 @@ def write_requests(triples: DataFrame, path: str, tasks: Sequence[Task] = NINE_T
      .write.mode("overwrite").partitionBy("task").json(path))
 
 
+def request_groups(triples: DataFrame, tasks: Sequence[Task] = NINE_TASKS,
+                   most: int = REQUEST_BYTES) -> list[list[Task]]:
+    """The tasks in their order, in groups whose requests hold `most` bytes of text; one task at least.
+
+    A scorer that is sent one group after the other, whose requests are dropped when they are
+    answered, needs disk for one group. `triples` should be materialized: its texts are read.
+    """
+    texts = ("src", *CANDIDATE.values())
+    sizes = triples.agg(*(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(c) for c in texts)).first()
+    groups: list[list[Task]] = []
+    room = 0
+    for task in tasks:
+        need = sizes["src"] + sizes[CANDIDATE[task.hyp]] + (sizes[CANDIDATE[task.ref]] if task.ref else 0)
+        if not groups or need > room:
+            groups.append([])
+            room = most
+        groups[-1].append(task)
+        room -= need
+    return groups
+
+
 def write_results(df: DataFrame, path: str, file_format: str = "parquet") -> None:
     """Original columns and score columns, one row per segment."""
     if file_format == "csv":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ from triptych.sources.readers import (
     read_reports,
     read_table,
 )
-from triptych.sources.shared import materialize, new_path
+from triptych.sources.shared import materialize, new_path, run_folder, shuffles_dropped
 from triptych.operators.exact_sums import exact_means
 from triptych.operators.journal import JournaledGenerator, read_journal
 from triptych.sources.line_order import numbered_lines, replies_by_order
 from triptych.sources.split_scan import read_split
 from triptych.sources.swap import read_swapped, write_swapped
-from triptych.sources.writers import output_path, write_requests, write_table
+from triptych.sources.writers import output_path, request_groups, write_requests, write_table
 from workload.tables import (
     conversation_triples,
     document_triples,
@@ -302,18 +303,30 @@ LOST_REPLY = "Score_A_Ref_C"
 
 @query
 def replies_by_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scorer that answers line by line without keys; the replies of one task lack a line."""
-    triples = materialize(document_triples(spark, sf_dir), "triples")
-    requests, replies = new_path(spark, "requests"), new_path(spark, "replies")
-    write_requests(triples, requests)
-    sent = numbered_lines(spark, requests).select("task", "place", F.from_json(
-        "value", "source string, hypothesis string, reference string").alias("r"))
-    pairs = sent.select("task", "place", F.col("r.source").alias("src"), F.col("r.hypothesis").alias("hyp"),
-                        F.col("r.reference").alias("ref"), F.col("task").isin(QE_LABELS).alias("is_qe"))
-    answered = score_pairs(pairs, WORD_OVERLAP, "prediction").filter(
-        (F.col("task") != LOST_REPLY) | (F.col("place") != 0))
-    answered.orderBy("task", "place").select("task", "prediction").write.partitionBy("task").json(replies)
-    attached = attach_scores(triples, replies_by_order(spark, requests, replies), value="prediction")
+    """A scorer that answers line by line without keys; the replies of one task lack a line.
+
+    It is run on some tasks at a time, whose requests go when the replies have their keys.
+    """
+    with shuffles_dropped(spark):
+        triples = materialize(document_triples(spark, sf_dir), "triples", "zstd")
+    scores = []
+    for tasks in request_groups(triples):
+        replies, keyed = new_path(spark, "replies"), new_path(spark, "scores")
+        with run_folder(spark):
+            requests = new_path(spark, "requests")
+            write_requests(triples, requests, tasks)
+            sent = numbered_lines(spark, requests).select("task", "place", F.from_json(
+                "value", "source string, hypothesis string, reference string").alias("r"))
+            pairs = sent.select("task", "place", F.col("r.source").alias("src"), F.col("r.hypothesis").alias("hyp"),
+                                F.col("r.reference").alias("ref"), F.col("task").isin(QE_LABELS).alias("is_qe"))
+            # Written down, as sorting by ranges reads its input twice.
+            answered = materialize(score_pairs(pairs, WORD_OVERLAP, "prediction").filter(
+                (F.col("task") != LOST_REPLY) | (F.col("place") != 0)).select("task", "place", "prediction"), "answered")
+            answered.orderBy("task", "place").select("task", "prediction").write.partitionBy("task").json(replies)
+            by_order = replies_by_order(spark, requests, replies)
+            by_order.write.parquet(keyed)
+        scores.append(spark.read.schema(by_order.schema).parquet(keyed))
+    attached = attach_scores(triples, reduce(DataFrame.unionByName, scores), value="prediction")
     return attached.select("seg_id", *(t.label for t in NINE_TASKS if t.label != LOST_REPLY))
 
 
