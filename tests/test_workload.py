@@ -43,7 +43,7 @@ def test_incomplete_triples_agree_with_the_sql(spark, tmp_path, name):
 
 
 @pytest.mark.filterwarnings("ignore:.*left out")
-@pytest.mark.parametrize("name", ["replies_by_line_order"])
+@pytest.mark.parametrize("name", ["request_reply_round_trip", "replies_by_line_order"])
 def test_requests_lie_on_disk_for_one_group_of_tasks_at_a_time(spark, con, monkeypatch, name):
     shared = Path(spark.conf.get("spark.checkpoint.dir"))
     before, laid, lines = set(shared.rglob("requests-*")), [], {}

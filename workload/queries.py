@@ -289,10 +289,15 @@ def _outside_scorer(spark: SparkSession, requests: str) -> DataFrame:
 
 @query
 def request_reply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples = materialize(document_triples(spark, sf_dir), "triples")
-    requests, replies = new_path(spark, "requests"), new_path(spark, "replies")
-    write_requests(triples, requests)
-    _outside_scorer(spark, requests).write.json(replies)
+    """The scorer is run on some tasks at a time, whose requests go when they are answered."""
+    with shuffles_dropped(spark):
+        triples = materialize(document_triples(spark, sf_dir), "triples", "zstd")
+    replies = new_path(spark, "replies")
+    for tasks in request_groups(triples):
+        with run_folder(spark):
+            requests = new_path(spark, "requests")
+            write_requests(triples, requests, tasks)
+            _outside_scorer(spark, requests).write.mode("append").json(replies)
     scores = read_replies(spark, replies)
     attached = attach_scores(triples, scores, value="prediction")
     return attached.select("seg_id", *(t.label for t in NINE_TASKS))
